@@ -141,3 +141,17 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that nothing is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def keep(docs: DataFrame, model: LanguageModel, min_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, whole, whose language the model can tell with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, tuple[float, ...]] = {}
+        model = shared.value
+        for batch in batches:
+            found = (model.predict(t.as_py(), cache) for t in batch.column("text"))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

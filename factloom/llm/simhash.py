@@ -254,3 +254,22 @@ def classes(prints: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET) -> Dat
 def hex_word(column: str) -> Column:
     """A long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each class: the least id's (null ids last), of rows that share it one text's."""
+    columns = docs.columns
+    mark = F.xxhash64("text")
+    prints = cut_lineage(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), words))
+    of = classes(prints.select("doc_id", "fp").distinct(), radius).select("fp", F.col("component_id").alias("component")).distinct()
+    # a class without any id is told by its fingerprints; the common null component keeps one row per fingerprint
+    placed = prints.join(of, "fp").withColumn("group", F.when(F.col("component").isNull(), F.col("fp")))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")
+    chosen = placed.groupBy("component", "group").agg(F.min(order).alias("c"), F.count("*").alias("n"))
+    chosen = cut_lineage(chosen.select(F.col("c.doc_id").alias("d"), F.col("c.mark").alias("m")))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (mark == F.col("m"))
+    out = docs.join(chosen, same, "left_semi")
+    repeated = prints.groupBy("doc_id", "mark").count().where("count > 1")
+    if not repeated.isEmpty():
+        out = out.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"])
+    return out.select(*columns)
