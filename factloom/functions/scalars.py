@@ -6,6 +6,7 @@ import math
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import EARTH_RADIUS_M, EPOCH_2000, LAT_BIAS, LON_BIAS, TIME_MAX, TIME_MIN
@@ -102,6 +103,9 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
-def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def jaro_winkler_column(a: str, b: str) -> Column:
+    return F.pandas_udf(_similarities, "double")(a, b)
