@@ -74,7 +74,8 @@ def unpivot(rows: DataFrame, source: str, geo_attr: str, numbers: dict[str, str]
     )
 
 
-OPEN = F.lit(None).cast("long").alias
+def never(name: str) -> Column:
+    return F.lit(None).cast("long").alias(name)
 
 
 def usgs(payloads: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def usgs(payloads: DataFrame) -> DataFrame:
     f = parsed(payloads, schema).select(F.explode("p.features").alias("f"))
     at = F.get("f.geometry.coordinates", F.lit(0)), F.get("f.geometry.coordinates", F.lit(1)), F.get("f.geometry.coordinates", F.lit(2))
     rows = f.select(
-        F.col("f.id").alias("key"), at[1].alias("lat"), at[0].alias("lon"), ms_unix(F.col("f.properties.time")).alias("from_unix"), OPEN("to_unix"),
+        F.col("f.id").alias("key"), at[1].alias("lat"), at[0].alias("lon"), ms_unix(F.col("f.properties.time")).alias("from_unix"), never("to_unix"),
         ms_unix(F.coalesce("f.properties.updated", "f.properties.time")).alias("system_unix"), F.col("f.properties.mag").alias("mag"),
         F.coalesce(at[2], F.lit(0.0)).alias("depth"), F.coalesce("f.properties.place", F.lit("unknown")).alias("place"),
     )
@@ -95,7 +96,7 @@ def emsc(payloads: DataFrame) -> DataFrame:
     f = parsed(payloads, schema).select(F.explode("p.features").alias("f")).select("f.id", "f.properties.*")
     known = F.coalesce("unid", "id", F.concat_ws(",", "lat", "lon", "time"))
     rows = f.select(
-        F.concat(F.lit("emsc:"), known).alias("key"), "lat", "lon", iso_unix(F.col("time")).alias("from_unix"), OPEN("to_unix"),
+        F.concat(F.lit("emsc:"), known).alias("key"), "lat", "lon", iso_unix(F.col("time")).alias("from_unix"), never("to_unix"),
         F.coalesce(iso_unix(F.col("lastupdate")), iso_unix(F.col("time"))).alias("system_unix"), "mag", F.coalesce("depth", F.lit(0.0)).alias("depth"), F.col("flynn_region").alias("region"),
     )
     return unpivot(rows.where(usable(F.col("lat"), F.col("lon")) & F.col("from_unix").isNotNull()), "emsc", "position", {"magnitude": "mag", "depth": "depth"}, {"region": "region"})
@@ -107,7 +108,7 @@ def digitraffic(payloads: DataFrame) -> DataFrame:
     at = ms_unix(F.col("f.properties.timestampExternal"))
     rows = f.select(
         F.concat(F.lit("mmsi:"), F.col("f.mmsi").cast("string")).alias("key"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), F.get("f.geometry.coordinates", F.lit(0)).alias("lon"),
-        at.alias("from_unix"), OPEN("to_unix"), at.alias("system_unix"), F.when(F.col("f.properties.sog") < SPEED_UNKNOWN, F.col("f.properties.sog")).alias("speed"),
+        at.alias("from_unix"), never("to_unix"), at.alias("system_unix"), F.when(F.col("f.properties.sog") < SPEED_UNKNOWN, F.col("f.properties.sog")).alias("speed"),
     )
     fine = F.col("key").isNotNull() & F.col("from_unix").isNotNull() & usable(F.col("lat"), F.col("lon"))
     return unpivot(rows.where(fine), "digitraffic", "vessel_position", {"speed": "speed"}, {})
@@ -121,7 +122,7 @@ def gdacs(payloads: DataFrame) -> DataFrame:
     part = lambda c, none: F.coalesce(F.col(c), F.lit(none))
     rows = f.select(
         F.concat(F.lit("gdacs:"), part("eventtype", "?"), F.lit(":"), part("eventid", ""), F.lit(":"), part("episodeid", "")).alias("key"), F.get("c", F.lit(1)).alias("lat"), F.get("c", F.lit(0)).alias("lon"),
-        iso_unix(F.col("fromdate")).alias("from_unix"), OPEN("to_unix"), F.coalesce(iso_unix(F.col("datemodified")), iso_unix(F.col("fromdate"))).alias("system_unix"),
+        iso_unix(F.col("fromdate")).alias("from_unix"), never("to_unix"), F.coalesce(iso_unix(F.col("datemodified")), iso_unix(F.col("fromdate"))).alias("system_unix"),
         level(F.coalesce("alertlevel", F.lit("Green")), GDACS_LEVEL).alias("level"), named.alias("named"),
     )
     return unpivot(rows.where(usable(F.col("lat"), F.col("lon")) & F.col("from_unix").isNotNull()), "gdacs", "alert_position", {"alert_level": "level"}, {"alert_label": "named"})
@@ -132,7 +133,7 @@ def eonet(payloads: DataFrame) -> DataFrame:
     schema = "events array<struct<id:string,title:string,categories:array<struct<title:string>>,geometry:array<struct<type:string,coordinates:array<double>,date:string>>>>"
     e = parsed(payloads, schema).select(F.explode("p.events").alias("e"), "fetched_unix").withColumn("g", F.element_at("e.geometry", -1)).where("g.type = 'Point'")
     rows = e.select(
-        F.concat(F.lit("eonet:"), "e.id").alias("key"), F.get("g.coordinates", F.lit(1)).alias("lat"), F.get("g.coordinates", F.lit(0)).alias("lon"), iso_unix(F.col("g.date")).alias("from_unix"), OPEN("to_unix"),
+        F.concat(F.lit("eonet:"), "e.id").alias("key"), F.get("g.coordinates", F.lit(1)).alias("lat"), F.get("g.coordinates", F.lit(0)).alias("lon"), iso_unix(F.col("g.date")).alias("from_unix"), never("to_unix"),
         F.col("fetched_unix").alias("system_unix"), F.lit(1.0).alias("one"), label(" — ", F.get("e.categories.title", F.lit(0)), F.col("e.title")).alias("named"),
     )
     return unpivot(rows.where(F.col("key").isNotNull() & usable(F.col("lat"), F.col("lon")) & F.col("from_unix").isNotNull()), "eonet", "event_position", {"event_intensity": "one"}, {"event_label": "named"})
@@ -144,7 +145,7 @@ def airplanes(payloads: DataFrame, civil: bool = False) -> DataFrame:
     at = F.col("now") - F.floor(F.coalesce("seen_pos", F.lit(0.0)) + 0.5)
     height = F.when(F.col("alt_baro") == "ground", F.lit(0.0)).otherwise(F.coalesce(F.col("alt_baro").try_cast("double"), F.lit(0.0)))
     rows = a.select(
-        F.concat(F.lit("icao:"), "hex").alias("key"), "lat", "lon", at.alias("from_unix"), OPEN("to_unix"), at.alias("system_unix"), height.alias("height"),
+        F.concat(F.lit("icao:"), "hex").alias("key"), "lat", "lon", at.alias("from_unix"), never("to_unix"), at.alias("system_unix"), height.alias("height"),
         label(" · ", F.coalesce("flight", F.lit("")), F.coalesce("t", F.lit(""))).alias("named"),
     )
     prefix, scalar = ("civil", "civil_altitude") if civil else ("aircraft", "altitude")
