@@ -31,7 +31,7 @@ def parsed(payloads: DataFrame, schema: str) -> DataFrame:
 
 def iso_unix(text: Column) -> Column:
     """Unix seconds of an ISO-8601 text with its zone; without one it is UTC."""
-    bare = F.regexp_replace(F.trim(text), r"(\d{2}:\d{2}(?::\d{2})?)(\.\d+)?$", "$1$2Z")
+    bare = F.regexp_replace(F.trim(text), r"([T ]\d{2}:\d{2}(?::\d{2})?)(\.\d+)?$", "$1$2Z")
     return F.unix_seconds(F.try_to_timestamp(F.regexp_replace(bare, " ", "T")))
 
 

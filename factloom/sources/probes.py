@@ -36,7 +36,12 @@ def dns(answers: DataFrame) -> DataFrame:
     one = "struct<Answer:array<struct<data:string,TTL:long>>>"
     kinds = ("A", "AAAA", "MX", "NS", "TXT")
     rows = answers.withColumn("p", F.from_json("payload", ", ".join(f"{k} {one}" for k in kinds)))
-    every = F.concat(*[F.transform(F.coalesce(F.col(f"p.{k}.Answer"), F.array().cast("array<struct<data:string,TTL:bigint>>")), lambda a, k=k: F.struct(F.lit(k).alias("k"), a["data"].alias("data"), a["TTL"].alias("ttl"))) for k in kinds])
+    none = F.array().cast("array<struct<data:string,TTL:bigint>>")
+
+    def of(kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"p.{kind}.Answer"), none), lambda a: F.struct(F.lit(kind).alias("k"), a["data"].alias("data"), a["TTL"].alias("ttl")))
+
+    every = F.concat(*[of(k) for k in kinds])
     rows = rows.withColumn("all", F.filter(every, lambda a: F.length(a["data"]) > 0))
     rows = rows.withColumn("ttl", F.coalesce(F.array_min(F.filter(F.transform("all", lambda a: a["ttl"]), lambda t: t > 0)), F.lit(DEFAULT_TTL)))
     shown = F.transform("all", lambda a: F.struct(a["k"].alias("label"), a["data"].alias("value"), F.lit(False).alias("warn")))
