@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
@@ -143,10 +143,11 @@ def inspect(facts: DataFrame, lat: float, lon: float, metres: float, valid_at: i
 
 def query_points(facts: DataFrame, valid_at: int, sys_at: int, geo_attr: str, scalar_attr: str) -> DataFrame:
     """Points of a layer: every visible position with the entity's last numeric scalar (0 if none)."""
-    seen = facts.where(C.visible(valid_at, sys_at) & F.col("attr").isin(geo_attr, scalar_attr))
-    last = F.max(F.when((F.col("attr") == scalar_attr) & C.number().isNotNull(), F.struct("fact_id", C.number().alias("v")))).over(Window.partitionBy("entity"))
-    rows = seen.withColumn("last", last).where((F.col("attr") == geo_attr) & (F.col("kind") == C.GEO))
-    return rows.select("fact_id", *as_point(F.col("last.v")))
+    seen = facts.where(C.visible(valid_at, sys_at))
+    scalars = seen.where((F.col("attr") == scalar_attr) & C.number().isNotNull())
+    last = scalars.groupBy(F.col("entity").alias("e")).agg(F.max_by(C.number(), F.col("fact_id")).alias("last"))
+    rows = seen.where((F.col("attr") == geo_attr) & (F.col("kind") == C.GEO)).join(last, F.col("entity") == F.col("e"), "left")
+    return rows.select("fact_id", *as_point(F.col("last")))
 
 
 def as_point(scalar: Column) -> list[Column]:

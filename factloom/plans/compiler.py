@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
@@ -24,7 +24,7 @@ class Binding:
     scalar_attr: str
 
 
-def compare(item: Compare, value: Column) -> Column:
+def compare(item: Compare, value: dict[str, Column]) -> Column:
     """Two-valued comparison with the first visible fact of the attribute; absent or of another kind is false."""
     literal, kind = item.literal, value["kind"]
     if literal.number is not None:
@@ -40,7 +40,7 @@ def compare(item: Compare, value: Column) -> Column:
     return F.coalesce(tests[item.op] & (kind == C.SYM), F.lit(False)) if item.op in tests else F.lit(False)
 
 
-def condition(node: object, values: dict[str, Column]) -> Column:
+def condition(node: object, values: dict[str, dict[str, Column]]) -> Column:
     if isinstance(node, Both):
         left, right = condition(node.left, values), condition(node.right, values)
         return left & right if node.op == "and" else left | right
@@ -52,42 +52,42 @@ def condition(node: object, values: dict[str, Column]) -> Column:
 def entities(facts: DataFrame, query: Query, binding: Binding, valid_at: int, sys_at: int, now: int, place: tuple[float, float] | None = None) -> DataFrame:
     """The visible positions of passing entities, with their sort key and scalar, unordered.
 
-    Only the attributes that the query reads are kept before facts are gathered by entity
-    (``since`` looks at all of them); the same exchange then serves the window and the filter.
+    Each entity's first values are aggregated before the shuffle, so an entity with very many
+    facts sends a row per task; positions are then joined to the entities that pass. Only the
+    attributes that the query reads take part (``since`` looks at all of them), and only the
+    fields that it compares, which keeps the aggregation in fixed-width buffers.
     """
+    texts = {c.field for c in query.comparisons() if c.literal.number is None}
     wanted = list(dict.fromkeys([binding.geo_attr, binding.scalar_attr, *query.fields()]))
     seen = facts.where(C.visible(valid_at, sys_at))
-    if query.since is None:
-        seen = seen.where(F.col("attr").isin(*wanted))
-    by_entity = Window.partitionBy("entity")
-    value = F.struct("kind", C.number().alias("num"), "v_str", "v_lat_e7", "v_lon_e7")
-    first = {}
+    read = seen if query.since is not None else seen.where(F.col("attr").isin(*wanted))
+    made: list[Column] = [F.min("fact_id").alias("entity_first"), F.max("valid_from").alias("latest")]
+    values: dict[str, dict[str, Column]] = {}
     for i, name in enumerate(wanted):
-        mine = F.col("attr") == name
-        first[name] = f"first_{i}"
-        seen = seen.withColumn(f"first_{i}", F.min(F.when(mine, F.struct("fact_id", value.alias("v")))).over(by_entity)["v"])
-    seen = seen.withColumn("entity_first", F.min("fact_id").over(by_entity))
+        fields = {"kind": F.col("kind"), "num": C.number()}
+        if name in texts:
+            fields["v_str"] = F.col("v_str")
+        if name == binding.geo_attr:
+            fields |= {"v_lat_e7": F.col("v_lat_e7"), "v_lon_e7": F.col("v_lon_e7")}
+        made += [F.min_by(column, F.when(F.col("attr") == name, F.col("fact_id"))).alias(f"first_{i}_{field}") for field, column in fields.items()]
+        values[name] = {field: F.col(f"first_{i}_{field}") for field in fields}
+    per = read.groupBy("entity").agg(*made)
     if query.since is not None:
-        seen = seen.withColumn("latest", F.max("valid_from").over(by_entity))
-        bound = query.since.resolve(now) - C.EPOCH_2000
-        seen = seen.where(F.col("latest") >= bound)
-    values = {name: F.col(column) for name, column in first.items()}
-    rows = seen.where((F.col("attr") == binding.geo_attr) & (F.col("kind") == C.GEO))
+        per = per.where(F.col("latest") >= query.since.resolve(now) - C.EPOCH_2000)
     if query.where is not None:
-        rows = rows.where(condition(query.where, values))
+        per = per.where(condition(query.where, values))
     place = _place(query, place)
     if place is not None:
         geo = values[binding.geo_attr]
         apart = C.haversine_m(F.lit(place[0]), F.lit(place[1]), geo["v_lat_e7"] / 1e7, geo["v_lon_e7"] / 1e7)
-        rows = rows.where((geo["kind"] == C.GEO) & (apart <= query.within.metres))
-    if query.bbox is not None:
-        south, west, north, east = query.bbox
-        rows = rows.where(spatial.in_box((south, west, north, east)))
-    scalar = values[binding.scalar_attr]
-    rows = rows.withColumn("scalar_value", scalar["num"])
+        per = per.where((geo["kind"] == C.GEO) & (apart <= query.within.metres))
+    kept = [F.col("entity").alias("e"), "entity_first", values[binding.scalar_attr]["num"].alias("scalar_value")]
     if query.order_by:
-        rows = rows.withColumn("sort_key", values[query.order_by]["num"])
-    return rows
+        kept.append(values[query.order_by]["num"].alias("sort_key"))
+    rows = seen.where((F.col("attr") == binding.geo_attr) & (F.col("kind") == C.GEO))
+    if query.bbox is not None:
+        rows = rows.where(spatial.in_box(query.bbox))
+    return rows.select("entity", "fact_id", "v_lat_e7", "v_lon_e7").join(per.select(*kept), F.col("entity") == F.col("e")).drop("e")
 
 
 def _place(query: Query, place: tuple[float, float] | None) -> tuple[float, float] | None:

@@ -22,7 +22,7 @@ from factloom.sources import feeds, registry
 from factloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
-T, S = 760_000_000, 5000
+T, S, SINCE = 760_000_000, 5000, 758_764_800
 VISIBLE = f"sys_from <= {S} AND sys_to > {S} AND valid_from <= {T} AND valid_to > {T}"
 BOX = (-10.0, -20.0, 30.0, 40.0)
 CENTRE, RADIUS = (10.0, 15.0), 1_500_000.0
@@ -179,9 +179,9 @@ def where_first_version(spark, sf_dir):
     return run_text(spark, sf_dir, "quakes where magnitude >= 20 and label != signup", "user_id")
 
 
-@query(points_sql(f"latest >= {T} - 10 * 86400", entity="entity"))
+@query(points_sql(f"latest >= {SINCE}", entity="entity"))
 def since_filter(spark, sf_dir):
-    return run_text(spark, sf_dir, "quakes since -10d", "user_id")
+    return run_text(spark, sf_dir, f"quakes since -{T - SINCE}s", "user_id")
 
 
 @query(points_sql(order="mag IS NULL, mag DESC, first_fact, fact_id", limit="LIMIT 20"))
