@@ -105,6 +105,34 @@ def valid_extent(facts: DataFrame) -> DataFrame:
     return facts.agg(F.min("valid_from").alias("first_valid"), F.max("valid_from").alias("last_valid"))
 
 
+def value_text(row: str = "") -> Column:
+    """A fact's value as text, whatever its kind; null for a null."""
+    c = lambda name: F.col(row + name)
+    place = F.concat_ws(",", (c("v_lat_e7") / 1e7).cast("string"), (c("v_lon_e7") / 1e7).cast("string"))
+    shown = {C.BOOL: c("v_bool"), C.I64: c("v_i64"), C.F64: c("v_f64"), C.SYM: c("v_str"), C.GEO: place, C.TIME: C.to_unix(c("v_time")), C.REF: c("v_ref")}
+    out = F.when(c("kind") == C.NULL, F.lit(None).cast("string"))
+    for kind, column in shown.items():
+        out = out.when(c("kind") == kind, column.cast("string"))
+    return out
+
+
+def rendered(facts: DataFrame) -> DataFrame:
+    """``(fact_id, json)``: facts as documents with Unix times; an open end is left out."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in C.KINDS]), F.col("kind") + 1)
+    until = F.when(F.col("valid_to") < C.OPEN_VALID, C.to_unix(F.col("valid_to")))
+    closed = F.when(F.col("sys_to") < C.OPEN_SYSTEM, F.col("sys_to"))
+    parts = F.struct(
+        "attr", kind.alias("kind"), value_text().alias("value"), "source", C.to_unix(F.col("valid_from")).alias("validFrom"), until.alias("validTo"), F.col("sys_from").alias("sysFrom"), closed.alias("sysTo")
+    )
+    return facts.select("fact_id", F.to_json(parts).alias("json"))
+
+
+def layer_counts(facts: DataFrame, valid_at: int, sys_at: int, geo_attrs: tuple[str, ...]) -> DataFrame:
+    """Visible positions per layer."""
+    seen = slice_at(facts, valid_at, sys_at).where(F.col("attr").isin(*geo_attrs))
+    return seen.groupBy("attr").agg(F.count("*").alias("points"))
+
+
 def attributes(facts: DataFrame) -> DataFrame:
     """The known attribute names, which take the place of interned symbols."""
     return facts.select("attr").distinct()

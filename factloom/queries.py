@@ -137,6 +137,34 @@ def ingest_validation(spark, sf_dir):
     return store.ingest_counts(rows)
 
 
+@query(with_facts(f"SELECT attr, count(*) AS points FROM facts WHERE {VISIBLE} AND attr IN ('position', 'aurora_position') GROUP BY attr"))
+def layer_counts(spark, sf_dir):
+    return store.layer_counts(facts(spark, sf_dir), T, S, ("position", "aurora_position"))
+
+
+@query(
+    with_facts(
+        "SELECT fact_id, CASE attr WHEN 'label' THEN v_str END AS label, valid_from + 946684800 AS valid_from, CASE WHEN valid_to < 2147483647 THEN valid_to + 946684800 END AS valid_to FROM facts WHERE entity = 7 AND attr = 'label'"
+    )
+)
+def fact_rendering(spark, sf_dir):
+    """Facts as documents, read back."""
+    rows = store.rendered(facts(spark, sf_dir).where("entity = 7 AND attr = 'label'"))
+    told = rows.select("fact_id", F.from_json("json", "value string, validFrom long, validTo long").alias("d"))
+    return told.select("fact_id", F.col("d.value").alias("label"), F.col("d.validFrom").alias("valid_from"), F.col("d.validTo").alias("valid_to"))
+
+
+@query(
+    """WITH n AS (SELECT event_type AS key, max(event_id) AS id FROM events WHERE event_id % 2 = 1 GROUP BY 1), o AS (SELECT event_type AS key, min(event_id) AS id FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+    SELECT key, coalesce(n.id, o.id) AS id FROM o FULL JOIN n USING (key)"""
+)
+def status_merge(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumnRenamed("event_type", "key")
+    old = rows.where("event_id % 2 = 0").groupBy("key").agg(F.min("event_id").alias("id"))
+    new = rows.where("event_id % 2 = 1").groupBy("key").agg(F.max("event_id").alias("id"))
+    return ingest.merge_latest(old, new, "key")
+
+
 # --- the language
 
 

@@ -134,6 +134,26 @@ class Ingestor:
         return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def merge_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows by key, where a new row replaces the old one."""
+    both = old.withColumn("__age", F.lit(0)).unionByName(new.withColumn("__age", F.lit(1)))
+    rest = [c for c in old.columns if c != key]
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), "__age").alias("r")).select(key, "r.*").select(*old.columns)
+
+
+def due(sources: DataFrame, now: int, viewport: bool = True) -> DataFrame:
+    """Sources to poll: ``(key, poll_seconds, last_unix, needs_viewport)``; without a poll time only the first time."""
+    never = F.col("last_unix").isNull()
+    again = F.col("poll_seconds").isNotNull() & (F.col("last_unix") + F.col("poll_seconds") <= now)
+    rows = sources.where(never | again)
+    return rows if viewport else rows.where(~F.col("needs_viewport"))
+
+
+def recompute(ingestor: Ingestor, payloads: DataFrame, derive: Callable[[DataFrame, int], DataFrame], at_unix: int, cycle_id: int) -> dict[str, int]:
+    """Commit what a derived source (such as orbits) gives for another instant from the payload that is already there."""
+    return ingestor.cycle(derive(payloads, at_unix), cycle_id)
+
+
 def windowed_counts(stream: DataFrame, late: str = "2 hours", window: str = "60 seconds") -> DataFrame:
     """Records per source and window of event time, with late ones taken up to ``late``."""
     at = F.timestamp_seconds("system_unix")

@@ -241,3 +241,19 @@ def test_streams_equal_batches(spark, tmp_path):
     unique = ingest.deduplicated(stream).writeStream.format("memory").queryName("singles").trigger(availableNow=True).start()
     unique.awaitTermination()
     assert spark.table("singles").count() == 40
+
+
+def test_polling(spark):
+    rows = [("usgs", 120, None, False), ("emsc", None, 5, False), ("civil", 20, 100, True), ("nws", 300, 100, False)]
+    sources = spark.createDataFrame(rows, "key string, poll_seconds long, last_unix long, needs_viewport boolean")
+    assert {r["key"] for r in ingest.due(sources, 130).collect()} == {"usgs", "civil"}
+    assert {r["key"] for r in ingest.due(sources, 400, viewport=False).collect()} == {"usgs", "nws"}
+
+
+def test_rendering(spark):
+    staged = [(1, "a", k, k == C.BOOL, 5, 1.5, "x", 10_000_000, -20_000_000, 0, 9, 0, 10, 3) for k in range(8)]
+    schema = "entity long, attr string, kind int, v_bool boolean, v_i64 long, v_f64 double, v_str string, v_lat_e7 int, v_lon_e7 int, v_time int, v_ref long, valid_from int, valid_to int, source int"
+    facts = store.as_facts(spark.createDataFrame(staged, schema), F.lit(2), F.col("kind"))
+    told = [json.loads(r["json"]) for r in store.rendered(facts).orderBy("fact_id").collect()]
+    assert [d.get("value") for d in told] == [None, "true", "5", "1.5", "x", "1.0,-2.0", "946684800", "9"]
+    assert told[4]["kind"] == "sym" and told[4]["validTo"] == 946684810 and "sysTo" not in told[4]
