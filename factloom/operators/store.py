@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.fixtures import FACT_COLUMNS
 from factloom.functions import columns as C
+from factloom.runtime import cut_lineage
 
 VALUE_COLUMNS = ("v_bool", "v_i64", "v_f64", "v_str", "v_lat_e7", "v_lon_e7", "v_time", "v_ref")
 FACT_BYTES = 35
@@ -168,6 +169,22 @@ def ingest_counts(staged: DataFrame) -> DataFrame:
     return staged.agg(F.count_if(fine).alias("accepted"), F.count_if(~fine).alias("rejected"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``place``, counted from 0 without gaps.
+
+    Rows are materialised with their number within the partition, so that a lost task can't
+    change it; only the partitions' counts are summed up.
+    """
+    low = 33  # bits of the number within a partition
+    held = cut_lineage(rows.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", low)
+    counts = held.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("__part", before.alias("__before")))  # a row per partition
+    placed = held.join(offsets, part == F.col("__part"))
+    return placed.withColumn("place", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << low) - 1))).drop("__id", "__part", "__before")
+
+
 def as_facts(staged: DataFrame, txn_id: Column, fact_id: Column) -> DataFrame:
     """Accepted staged rows in the stored form, open on the system axis."""
     rows = staged.where(accepted(staged))

@@ -23,6 +23,8 @@ AUDIT_SOURCE = 65_535
 #: Audit entities have a range of ids of their own, so that later data can't meet them.
 AUDIT_BASE = 1 << 40
 MAX_POINTS = 262_144
+MERGE_PARTS = 16
+TXN_SCHEMA = "txn_id long, wall_clock_unix long, fact_count long, first_fact long"
 
 
 @dataclass
@@ -41,23 +43,52 @@ class Result:
 
 
 class Session:
-    """Facts and transactions as DataFrames, with the session's own additions appended."""
+    """Stored facts and transactions, with the session's own additions beside them.
+
+    Additions are small tables that are unioned to the stored facts; they are merged once
+    there are ``MERGE_PARTS`` of them. Neither a query nor its audit entry rewrites or rescans
+    what is stored: the zone map and the catalogue are read once and then added to.
+    """
 
     def __init__(self, spark: SparkSession, facts: DataFrame | None = None, txns: DataFrame | None = None):
         self.spark = spark
-        self.facts = facts if facts is not None else spark.createDataFrame([], FACT_SCHEMA)
-        self.txns = txns if txns is not None else spark.createDataFrame([], "txn_id long, wall_clock_unix long, fact_count long, first_fact long")
+        self.stored = facts if facts is not None else spark.createDataFrame([], FACT_SCHEMA)
+        self.txns = (txns if txns is not None else spark.createDataFrame([], TXN_SCHEMA)).select("txn_id", "wall_clock_unix", "fact_count", "first_fact")
+        self.parts: list[DataFrame] = []
+        self.closed: DataFrame | None = None
         self.policy = Policy()
         self.bindings: dict[str, Binding] = {}
-        self._refresh()
-
-    def _refresh(self) -> None:
-        """Zone map, catalogue and counters: once per batch of changes, never per query."""
-        self.chunks = cut_lineage(store.chunk_stats(self.facts))
-        self.known = frozenset(r[0] for r in store.attributes(self.facts).collect())
+        self.chunks = cut_lineage(store.chunk_stats(self.stored))
+        self.known = frozenset(r[0] for r in store.attributes(self.stored).collect())
         last = self.txns.agg(F.coalesce(F.max("txn_id"), F.lit(0)).alias("t"), F.max("wall_clock_unix").alias("w")).first()
         self.current_txn, self.last_wall = last["t"], last["w"]
-        self.next_fact = self.facts.agg(F.coalesce(F.max("fact_id") + 1, F.lit(0))).first()[0]
+        self.next_fact = self.stored.agg(F.coalesce(F.max("fact_id") + 1, F.lit(0))).first()[0]
+
+    @property
+    def facts(self) -> DataFrame:
+        rows = self.stored
+        for part in self.parts:
+            rows = rows.unionByName(part)
+        return rows if self.closed is None else store.apply_retractions(rows, self.closed)
+
+    def _add(self, rows: DataFrame, txn: int, wall: int, count: int) -> None:
+        """Append the rows of a new transaction."""
+        if count:
+            part = cut_lineage(rows)
+            self.parts.append(part)
+            if len(self.parts) >= MERGE_PARTS:
+                merged = self.parts[0]
+                for other in self.parts[1:]:
+                    merged = merged.unionByName(other)
+                self.parts = [cut_lineage(merged.coalesce(1) if count < 10_000 else merged)]
+            both = self.chunks.unionByName(store.chunk_stats(part)).groupBy("chunk")
+            bounds = [F.min("min_valid_from"), F.max("max_valid_to"), F.min("min_sys_from"), F.max("max_sys_to"), F.sum("rows")]
+            names = ["min_valid_from", "max_valid_to", "min_sys_from", "max_sys_to", "rows"]
+            self.chunks = cut_lineage(both.agg(*[b.alias(n) for b, n in zip(bounds, names, strict=True)]))
+            self.known |= {r[0] for r in store.attributes(part).collect()}
+        added = self.spark.createDataFrame([(txn, wall, count, self.next_fact)], TXN_SCHEMA)
+        self.txns = cut_lineage(self.txns.unionByName(added))
+        self.current_txn, self.last_wall, self.next_fact = txn, wall, self.next_fact + count
 
     def register_source(self, names: str | tuple[str, ...], geo_attr: str, scalar_attr: str) -> None:
         """Bind one or more names to a layer; a later binding of a name replaces the earlier."""
@@ -76,25 +107,17 @@ class Session:
         wall = max(wall_clock, self.last_wall) if self.last_wall is not None else wall_clock
         txn = self.current_txn + 1
         fine = staged.where(store.accepted(staged))
-        # one transaction is one batch of a feed; its rows are numbered by partition and place
-        numbered = fine.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(fine.schema.add("place", "long"))
+        numbered = store.numbered(fine)
         rows = store.as_facts(numbered, F.lit(txn), F.col("place") + self.next_fact)
-        self.facts = cut_lineage(self.facts.unionByName(rows))
-        self._commit(txn, wall, counts["accepted"])
+        self._add(rows, txn, wall, counts["accepted"])
         return counts["accepted"], counts["rejected"]
 
-    def _commit(self, txn: int, wall: int, count: int) -> None:
-        added = self.spark.createDataFrame([(txn, wall, count, self.next_fact)], "txn_id long, wall_clock_unix long, fact_count long, first_fact long")
-        self.txns = cut_lineage(self.txns.select("txn_id", "wall_clock_unix", "fact_count", "first_fact").unionByName(added))
-        self._refresh()
-
     def retract(self, fact_ids: list[int], wall_clock: int) -> None:
         """Close facts in a transaction of their own; unknown and closed ones stay as they are."""
         txn = self.current_txn + 1
-        wall = max(wall_clock, self.last_wall or wall_clock)
         closed = self.spark.createDataFrame([(i, txn) for i in fact_ids], "fact_id long, txn_id long")
-        self.facts = cut_lineage(store.apply_retractions(self.facts, closed))
-        self._commit(txn, wall, 0)
+        self.closed = cut_lineage(closed if self.closed is None else self.closed.unionByName(closed))
+        self._add(self.stored, txn, max(wall_clock, self.last_wall or wall_clock), 0)
 
     def run_query(self, text: str, now: int, override: tuple[int, int] | None = None, record: bool = True, execute: bool = True, places: dict[str, tuple[float, float]] | None = None) -> Result:
         """Parse, plan, ask the policy, and only then build and run the query."""
@@ -152,8 +175,7 @@ class Session:
         ]
         schema = "entity long, attr string, kind int, v_bool boolean, v_i64 long, v_str string, valid_from int, valid_to int, source int, place long"
         facts = store.as_facts(self.spark.createDataFrame(staged, schema), F.lit(txn), F.col("place") + self.next_fact)
-        self.facts = cut_lineage(self.facts.unionByName(facts))
-        self._commit(txn, wall, len(staged))
+        self._add(facts, txn, wall, len(staged))
 
     def audit(self, limit: int = 50) -> DataFrame:
         return audit_log(self.facts).limit(limit)
