@@ -25,11 +25,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.runtime import cut_lineage
+
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters with code points above ASCII vary by script; a JVM class for the same words.
+#: The same words for the JVM.
 SQL_WORD = r"\p{L}+"
 EDGE = "\x01"
 UNKNOWN = "und"
@@ -64,7 +66,8 @@ class LanguageModel:
 
     def predict(self, text: str | None, cache: dict[str, tuple[float, ...]]) -> tuple[str, float]:
         counts = Counter(WORD.findall(text.lower())) if text else None
-        if not counts or not self.langs:
+        # the pattern also takes signs such as superscripts, which are no letters
+        if not counts or not self.langs or not any(c.isalpha() for word in counts for c in word):
             return UNKNOWN, 0.0
         size = len(self.langs)
         total, seen = [0.0] * size, 0
@@ -89,6 +92,20 @@ def _tables(counts: dict[str, Counter], langs: tuple[str, ...], floor: float) ->
     return {k: tuple(math.log(counts[lang][k] / sums[lang]) if counts[lang][k] else floor for lang in langs) for k in keys}
 
 
+def _least_counts(histogram: list, most: int) -> dict[str, int]:
+    """For each language the least count whose words, with all more frequent ones, are at most ``most``.
+
+    The histogram has a row per distinct count, so no task ever sorts a language's words.
+    """
+    found: dict[str, int] = {}
+    total: Counter = Counter()
+    for lang, n, words in sorted(histogram, key=lambda r: (r[0], -r[1])):
+        total[lang] += words
+        if total[lang] <= most or lang not in found:
+            found[lang] = n
+    return found
+
+
 def fit(
     labelled: DataFrame, fit_rows: int = 20_000, max_words: int = 20_000, max_grams: int = 20_000, max_order: int = 4, floor: float = -16.0
 ) -> LanguageModel:
@@ -103,8 +120,10 @@ def fit(
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    kept = words.withColumn("place", place).where(F.col("place") <= max_words).select("lang", "word", "n").collect()
+    words = cut_lineage(words)
+    least = _least_counts(words.groupBy("lang", "n").agg(F.count("*").alias("words")).collect(), max_words)
+    bounds = [F.lit(x) for item in least.items() for x in item]
+    kept = words.where(F.col("n") >= F.create_map(*bounds)[F.col("lang")]).collect() if bounds else []
     by_word: dict[str, Counter] = defaultdict(Counter)
     by_gram: dict[str, Counter] = defaultdict(Counter)
     for lang, word, n in kept:

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.runtime import cut_lineage
+
 # Short notices of common licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -86,13 +88,14 @@ def _parent(path: Column) -> Column:
 def scan(files: DataFrame, templates: dict[str, str] | None = None, score: float = SCORE, file_share: float = FILE_SHARE) -> DataFrame:
     """``files(path, text, ...)`` with own and inherited licences, without ``text``."""
     rest = [c for c in files.columns if c not in ("text", *ADDED)]
-    rows = files.select(*rest, "text", F.xxhash64("path", "text").alias("mark"))
+    rows = files.select(F.struct(*rest).alias("row"), "path", "text", F.xxhash64("path", "text").alias("mark"))
     heads = rows.where(_speaks(F.col("text"))).select("path", "mark", F.size(_words(F.col("text"))).alias("n"), "text").dropDuplicates(["path", "mark"])
     heads = heads.select("path", "mark", "n", F.explode(F.regexp_extract_all("text", F.lit(CLAUSE), F.lit(0))).alias("clause")).where(_speaks(F.col("clause")))
+    heads = cut_lineage(heads)  # few clauses, read from all texts once
     named = clause_licences(heads.select("clause").distinct(), templates, score)
     found = heads.join(named, "clause").withColumn("words", F.size(_words(F.col("clause"))))
     own = found.groupBy("path", "mark", "n").agg(F.min(F.struct((-F.col("score")).alias("back"), "name")).alias("best"), F.sum("words").alias("words"))
-    own = own.select("path", "mark", F.col("best.name").alias("own_licence"), (-F.col("best.back")).alias("own_score"), "n", "words")
+    own = cut_lineage(own.select("path", "mark", F.col("best.name").alias("own_licence"), (-F.col("best.back")).alias("own_score"), "n", "words"))
 
     is_file = F.lower("path").rlike(LICENCE_FILE) | (F.col("words") >= file_share * F.col("n"))
     giving = own.where(F.coalesce(is_file, F.lit(False))).select(_parent(F.col("path")).alias("folder"), "path", "own_licence", "own_score")
@@ -111,7 +114,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, score: float
     out = out.withColumn("folder", _parent(F.col("path"))).join(nearest, "folder", "left")
     basis = F.when(F.col("own_licence").isNotNull(), "header").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return out.select(
-        *rest, "own_licence", "own_score", F.coalesce("own_licence", "given").alias("licence"), basis.alias("basis"),
+        "row.*", "own_licence", "own_score", F.coalesce("own_licence", "given").alias("licence"), basis.alias("basis"),
         F.when(F.col("own_licence").isNull(), F.col("inherited_from")).alias("inherited_from"),
     )
 

@@ -108,8 +108,8 @@ def _mixed(sized: DataFrame, hashed: DataFrame, weights: tuple[int, ...], share:
     sizes = cut_lineage(hashed.groupBy("source").agg(F.sum("size").alias("source_size")))
     hint = F.broadcast if sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else _as_is
     goals = cut_lineage(targets(sizes, weights, share, most))
-    limits = cut_lineage(thresholds(hashed, goals, hint)).withColumnRenamed("source", "s")
-    out = sized.join(hint(limits), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    limits = cut_lineage(thresholds(hashed, goals, hint)).withColumnRenamed("source", "__source")
+    out = sized.join(hint(limits), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     out = out.withColumn("copies", F.col("epochs") + (F.col("mix_hash") < F.col("threshold")).cast("long"))
     return out.withColumn("taken", F.col("size") * F.col("copies")).drop("epochs", "threshold", "mix_hash")
 

@@ -28,7 +28,7 @@ from factloom.runtime import cut_lineage
 FAN_OUT = 8
 #: A block value with more distinct fingerprints is dealt again by blocks of its other bits.
 HOT_BUCKET = 20_000
-PAIRS_AT_ONCE = 500_000
+PAIRS_AT_ONCE = 250_000
 HASHES_AT_ONCE = 1 << 16
 
 
@@ -119,10 +119,10 @@ class GrayIndex:
         spans = [np.arange(len(self.values))]
         for heads in self.start[1:]:
             spans.append(spans[-1][heads])
-        roots = np.arange(len(self.low[top]))
-        stack = [(top, roots[i : i + PAIRS_AT_ONCE], roots[i : i + PAIRS_AT_ONCE]) for i in range(0, len(roots), PAIRS_AT_ONCE)]
-        while stack:
-            level, a, b = stack.pop()
+        step = max(1, PAIRS_AT_ONCE // FAN_OUT**2)
+        stack: list[tuple[int, np.ndarray, np.ndarray]] = []  # undecided pairs, not yet expanded
+
+        def visit(level: int, a: np.ndarray, b: np.ndarray) -> None:
             if level:
                 one = np.minimum.reduceat(label, spans[level])
                 uniform = one == np.maximum.reduceat(label, spans[level])
@@ -133,14 +133,17 @@ class GrayIndex:
             least, most = self.bounds(level, a, b)
             sure = most <= radius
             self._join(label, spans[level], level, a[sure], b[sure], pairs)
-            open_ = (least <= radius) & ~sure
-            a, b = a[open_], b[open_]
-            if not level or not len(a):
-                continue
-            fans = FAN_OUT * FAN_OUT
-            step = max(1, PAIRS_AT_ONCE // fans)
-            for i in range(0, len(a), step):
-                stack.append((level - 1, *self._expand(level, a[i : i + step], b[i : i + step])))
+            undecided = (least <= radius) & ~sure
+            a, b = a[undecided], b[undecided]
+            if level:
+                stack.extend((level, a[i : i + step], b[i : i + step]) for i in range(0, len(a), step))
+
+        roots = np.arange(len(self.low[top]))
+        if len(roots):
+            visit(top, roots, roots)
+        while stack:
+            level, a, b = stack.pop()
+            visit(level - 1, *self._expand(level, a, b))
         return label
 
     def _expand(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +302,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
     prints = cut_lineage(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), words))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")
     texts = cut_lineage(prints.groupBy("mark").agg(F.min("fp").alias("fp"), F.min(order).alias("first")))
-    ahead = texts.groupBy("fp").agg(F.min("mark").alias("head"))
+    ahead = cut_lineage(texts.groupBy("fp").agg(F.min("mark").alias("head")))
     pairs = links(ahead.select("fp"), radius, hot_bucket, nearest=True).distinct()
     near = pairs.join(ahead.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(ahead.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
     alike = texts.join(ahead, "fp").where("mark <> head").select(F.col("head").alias("a"), F.col("mark").alias("b"))
@@ -318,8 +321,8 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
     chosen = rooted.groupBy("root").agg(F.min("first").alias("c")).select(F.col("c.doc_id").alias("d"), F.col("c.mark").alias("m"))
     chosen = cut_lineage(chosen)
     keys = prints.select("doc_id", "mark").join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_anti")
-    gone = keys.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (mark == F.col("m")), "left_anti")
+    gone = keys.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")).distinct()
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__of")), "left_anti")
     if not prints.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
         out = out.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"])
     return out.select(*columns)

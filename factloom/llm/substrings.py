@@ -36,6 +36,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.runtime import cut_lineage
+
 WINDOW_STARTS_AT_ONCE = 1 << 21
 RUN_BYTES = 48 << 20
 RANGE_BYTES = 16 << 20
@@ -45,7 +47,7 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def core_length(length: int) -> int:
-    """Bytes that are hashed: the power of two next below a third of the window, or nearly so."""
+    """Bytes that are hashed: the largest power of two within two fifths of the window."""
     return 1 << max(0, (length * 2 // 5).bit_length() - 1)
 
 
@@ -202,7 +204,7 @@ def _shifts_within(room: np.ndarray, length: int, span: int) -> tuple[np.ndarray
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(packed: bytes) -> list[bytes]:
@@ -387,7 +389,8 @@ def repeated(docs: DataFrame, length: int = 200, hot: int = HOT, range_bytes: in
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     placed = docs.select("doc_id", "mark", "text").mapInArrow(find, "doc_id long, mark long, place long, h long")
-    counts = placed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("is_hot"))
+    # written out, so that the join's sides are plain exchanges, of which large partitions can be split
+    counts = cut_lineage(placed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("is_hot")))
     chosen = placed.join(counts, "h").select("doc_id", "mark", F.struct("place", "h", "is_hot").alias("anchor"))
     chosen = chosen.groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("anchors"))
     chosen = chosen.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "anchors")

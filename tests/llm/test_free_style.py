@@ -237,7 +237,7 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_language_edges(spark):
-    docs = spark.createDataFrame([(1, "el perro"), (2, None), (3, "12 !"), (4, ""), (5, "perrito")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "el perro"), (2, None), (3, "12 !"), (4, "² ½"), (5, "perrito")], "doc_id long, text string")
     none = language.fit(spark.createDataFrame([], "text string, lang string"))
     assert {r["lang_pred"] for r in language.predict(docs, none).collect()} == {"und"}
     model = language.fit(spark.createDataFrame([("el perro come", "es"), ("the dog eats", "en"), ("x", None), (None, "fr")], "text string, lang string"))

@@ -64,7 +64,7 @@ def documents(spark, seed, n=300):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mixing_matches_sql(spark, seed):
-    docs = documents(spark, seed).withColumn("size", F.lit("clash"))
+    docs = documents(spark, seed).withColumns({n: F.lit("clash") for n in ("size", "s", "rest")})
     found = mixing.mix_sizes(docs).select("doc_id", "size", "source_size", "target", "taken")
     assert spark_rows(found) == sql_rows(mixing.ORACLE_SQL, documents=docs.toPandas())
     whole = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -172,7 +172,7 @@ def test_licences_inherit_from_the_nearest_folder(spark):
         ("a/x.py", "some code"),
         ("d/z.py", "Copyright of nobody, a licence of none of these kinds at all"),
     ]
-    files = spark.createDataFrame(rows, "path string, text string").withColumn("licence", F.lit("clash"))
+    files = spark.createDataFrame(rows, "path string, text string").withColumns({n: F.lit("clash") for n in ("licence", "mark", "folder", "given")})
     found = Counter((r["path"], r["licence"], r["basis"], r["inherited_from"]) for r in licences.scan(files).collect())
     assert found == Counter(
         [

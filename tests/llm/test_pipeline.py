@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import language, mixing, simhash
@@ -106,6 +107,14 @@ def test_every_stage(spark, staged):
     assert all(s == list(range(len(s))) for s in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
 
 
+def test_near_dedup_with_clashing_columns_and_null_ids(spark):
+    rows = [(None, "a b c d e f", "x"), (None, "a b c d e f", "x"), (3, "A b c d e f", "x"), (None, "other", "x"), (5, None, "x"), (6, None, "x"), (7, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d string").withColumns({n: F.lit(n) for n in ("m", "mark", "fp", "first")})
+    found = simhash.keep_one(docs)
+    assert found.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter([(3, "A b c d e f"), (None, "other"), (5, None)])
+
+
 def test_run(spark, staged):
     folder, rows, _ = staged
     out = corpus_pipeline.run(spark, folder)
