@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import similar
 from factloom.operators.components import connected_components
 from factloom.runtime import cut_lineage
 
@@ -108,12 +109,8 @@ class GrayIndex:
         least = np.bitwise_count(apart).astype(np.int64)
         return least, least + 64 - np.bitwise_count(shared)
 
-    def classes(self, radius: int, pairs: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
-        """For each value (in index order) the least position that it is linked with in its bucket.
-
-        ``pairs`` gets pairs of positions within the radius that link each class: of those met
-        together, each value's nearest.
-        """
+    def classes(self, radius: int) -> np.ndarray:
+        """For each value (in index order) the least position that it is linked with in its bucket."""
         label = np.arange(len(self.values))
         top = len(self.low) - 1
         spans = [np.arange(len(self.values))]
@@ -132,7 +129,7 @@ class GrayIndex:
             a, b = a[keep], b[keep]
             least, most = self.bounds(level, a, b)
             sure = most <= radius
-            self._join(label, spans[level], level, a[sure], b[sure], pairs)
+            self._join(label, spans[level], level, a[sure], b[sure])
             undecided = (least <= radius) & ~sure
             a, b = a[undecided], b[undecided]
             if level:
@@ -154,16 +151,7 @@ class GrayIndex:
         fine = (left < end_a[:, None]) & (right < end_b[:, None]) & (left <= right)
         return left[fine], right[fine]
 
-    def _nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each value's pairs the one with the fewest differing bits."""
-        x, y = np.r_[x, y], np.r_[y, x]
-        x, y = x[x != y], y[x != y]
-        order = np.lexsort((y, np.bitwise_count(self.values[x] ^ self.values[y]), x))
-        x, y = x[order], y[order]
-        first = np.r_[True, x[1:] != x[:-1]][: len(x)]
-        return x[first], y[first]
-
-    def _join(self, label: np.ndarray, span: np.ndarray, level: int, a: np.ndarray, b: np.ndarray, pairs: list | None = None) -> None:
+    def _join(self, label: np.ndarray, span: np.ndarray, level: int, a: np.ndarray, b: np.ndarray) -> None:
         """Merge the classes of all members of the node pairs."""
         if not len(a):
             return
@@ -175,8 +163,6 @@ class GrayIndex:
             first = np.repeat(span[whole], count)
             member = first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             x, y = np.r_[x, first], np.r_[y, member]
-        if pairs is not None:
-            pairs.append(self._nearest(x, y))
         while True:
             p, q = label[x], label[y]
             differ = p != q
@@ -200,11 +186,8 @@ def _blocks(total: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def links(values: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET, nearest: bool = False) -> DataFrame:
-    """Stars ``(src, dst)`` whose components are those of all pairs of ``values(fp)`` within ``radius``.
-
-    With ``nearest`` pairs that are themselves within the radius, each value's nearest ones, instead of stars.
-    """
+def links(values: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Stars ``(src, dst)`` whose components are those of all pairs of ``values(fp)`` within ``radius``."""
     parts = _blocks(64, radius + 1)
     keyed = values.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _bits("fp", *p).alias("v")) for i, p in enumerate(parts)])).alias("k")
@@ -238,22 +221,19 @@ def links(values: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET, nearest:
                 key, value = np.concatenate(held_k), np.concatenate(held_v)
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield from _linked(key[:cut], value[:cut], radius, nearest)
+                    yield from _linked(key[:cut], value[:cut], radius)
                 held_k, held_v, held = [key[cut:]], [value[cut:]], len(key) - cut
         if held:
-            yield from _linked(np.concatenate(held_k), np.concatenate(held_v), radius, nearest)
+            yield from _linked(np.concatenate(held_k), np.concatenate(held_v), radius)
 
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def _linked(key: np.ndarray, value: np.ndarray, radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+def _linked(key: np.ndarray, value: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     index = GrayIndex(key, value.astype(np.int64).view(np.uint64))
-    pairs: list[tuple[np.ndarray, np.ndarray]] | None = [] if nearest else None
-    label = index.classes(radius, pairs)
+    label = index.classes(radius)
     x = np.flatnonzero(label != np.arange(len(label)))
     y = label[x]
-    if pairs:
-        x, y = (np.concatenate(side) for side in zip(*pairs, strict=True))
     if len(x):
         signed = index.values.view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(signed[x]), pa.array(signed[y])], names=["src", "dst"])
@@ -281,48 +261,25 @@ def hex_word(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def _shingle_set(text: Column, words: int) -> tuple[Column, Column]:
-    """The words of a text, and (over a column ``ws`` of them) the hashes of its distinct shingles."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    every = F.transform(F.sequence(F.lit(0), F.size("ws") - words), lambda i: F.xxhash64(*[F.get("ws", i + k) for k in range(words)]))
-    few = F.when(F.size("ws") > 0, F.array(F.xxhash64("ws"))).otherwise(F.array().cast("array<bigint>"))
-    return tokens, F.array_distinct(F.when(F.size("ws") >= words, every).otherwise(few))
-
-
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float = 0.8, hot_bucket: int = HOT_BUCKET // 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates: the least id's (null ids last).
 
-    Equal texts are one text from the start. Texts whose fingerprints lie within ``radius`` are
-    candidates, each with its nearest in every bucket; a candidate pair is a link if the
-    Jaccard similarity of the sets of word shingles is at least ``similarity``. Texts that no
-    verified link joins to an earlier one stay, so a chance meeting of fingerprints drops nothing.
+    Equal texts are one text from the start. Two texts are linked if the Jaccard similarity of
+    the sets of their word shingles is at least ``similarity``; ``similar.classes`` misses no
+    such pair. Texts that no link joins to an earlier one stay.
     """
     columns = docs.columns
     mark = F.xxhash64("text")
-    prints = cut_lineage(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), words))
+    named = cut_lineage(docs.select("doc_id", mark.alias("mark")))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")
-    texts = cut_lineage(prints.groupBy("mark").agg(F.min("fp").alias("fp"), F.min(order).alias("first")))
-    ahead = cut_lineage(texts.groupBy("fp").agg(F.min("mark").alias("head")))
-    pairs = links(ahead.select("fp"), radius, hot_bucket, nearest=True).distinct()
-    near = pairs.join(ahead.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(ahead.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
-    alike = texts.join(ahead, "fp").where("mark <> head").select(F.col("head").alias("a"), F.col("mark").alias("b"))
-    asked = cut_lineage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(alike).distinct())
-    wanted = asked.select(F.col("a").alias("m")).union(asked.select("b")).distinct()
-    tokens, hashes = _shingle_set(F.col("text"), words)
-    read = docs.select("text", mark.alias("mark")).join(wanted, F.col("mark") == F.col("m"), "left_semi")
-    sets = read.dropDuplicates(["mark"]).select("mark", tokens.alias("ws")).select("mark", hashes.alias("hs"))
-    sets = cut_lineage(sets)
-    both = asked.join(sets.select(F.col("mark").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("mark").alias("b"), F.col("hs").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - shared
-    linked = both.where(F.when(either == 0, F.lit(True)).otherwise(shared >= similarity * either - 1e-9))
-    found = connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    texts = named.groupBy("mark").agg(F.min(order).alias("first"))
+    found = similar.classes(docs.select(mark.alias("mark"), "text"), words, similarity)
     rooted = texts.join(found, F.col("mark") == F.col("node"), "left").select("first", F.coalesce("component", "mark").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("c")).select(F.col("c.doc_id").alias("d"), F.col("c.mark").alias("m"))
     chosen = cut_lineage(chosen)
-    keys = prints.select("doc_id", "mark").join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_anti")
+    keys = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_anti")
     gone = keys.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")).distinct()
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__of")), "left_anti")
-    if not prints.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+    if not named.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
         out = out.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"])
     return out.select(*columns)

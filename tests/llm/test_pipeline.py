@@ -126,3 +126,30 @@ def test_run_on_an_empty_table(spark, staged, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def closure(texts, similarity=0.8):
+    """The least position of each text's class, by all pairs."""
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+
+
+def test_near_dedup_compares_texts_of_equal_fingerprints(spark):
+    rng = random.Random(2)
+    line = " ".join(f"line{i}" for i in range(11))
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join([line] * 40 + words) for words in own]
+    texts += [" ".join([line] * 40 + words[:-1] + ["edited"]) for words in own]
+    assert len({simhash.text_fingerprint(t, 5) for t in texts}) == 1
+    assert kept_of(spark, texts) == sorted(set(closure(texts))) == list(range(6))
