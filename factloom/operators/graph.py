@@ -41,7 +41,7 @@ def khop(graph: DataFrame, source: int, hops: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def shortest_path(graph: DataFrame, a: int, b: int, longest: int = 64) -> DataFrame:
+def shortest_path(graph: DataFrame, a: int, b: int) -> DataFrame:
     """``(step, node)`` of a shortest path with both ends; empty if there is none.
 
     Two frontiers grow, the smaller first, each node keeping its least parent, until a node
@@ -53,7 +53,7 @@ def shortest_path(graph: DataFrame, a: int, b: int, longest: int = 64) -> DataFr
         return spark.createDataFrame([(0, a)], schema)
     sides = [spark.createDataFrame([(x, None, 0)], "node long, parent long, depth int") for x in (a, b)]
     fronts, sizes, depths = list(sides), [1, 1], [0, 0]
-    for _ in range(longest):
+    while True:  # each round sees new nodes or ends, so there are at most as many as nodes
         k = 0 if sizes[0] <= sizes[1] else 1
         depths[k] += 1
         step = graph.join(fronts[k].select("node"), F.col("src") == F.col("node"))
@@ -69,7 +69,6 @@ def shortest_path(graph: DataFrame, a: int, b: int, longest: int = 64) -> DataFr
             halves = [_trace(sides[i], met) for i in range(2)]
             path = halves[0][::-1] + halves[1][1:]
             return spark.createDataFrame(list(enumerate(path)), schema)
-    return spark.createDataFrame([], schema)
 
 
 def _trace(side: DataFrame, node: int | None) -> list[int]:
