@@ -18,40 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import similar
+from factloom.llm.gray import GrayIndex
+from factloom.llm.shingles import majority_bits, shingle_hashes
 from factloom.operators.components import connected_components
 from factloom.runtime import cut_lineage
 
-FAN_OUT = 8
 #: A block value with more distinct fingerprints is dealt again by blocks of its other bits.
 HOT_BUCKET = 20_000
-PAIRS_AT_ONCE = 250_000
-HASHES_AT_ONCE = 1 << 16
 
 
 def text_fingerprint(text: str | None, words: int) -> int:
     """Bit i is set if over half of the word shingles' XXH64 (seed 42) have it."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    ends = np.cumsum(lengths)
-    first, last = (ends - lengths)[: 1 - words or None].tolist(), (ends - 1)[words - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(first), HASHES_AT_ONCE):
-        pairs = zip(first[at : at + HASHES_AT_ONCE], last[at : at + HASHES_AT_ONCE], strict=True)
-        hashes = np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(first)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return majority_bits(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -69,114 +51,6 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def gray_rank(values: np.ndarray) -> np.ndarray:
-    """Position of each word in the reflected Gray sequence."""
-    rank = values.copy()
-    for step in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(step)
-    return rank
-
-
-class GrayIndex:
-    """Hierarchy over fingerprints sorted by bucket and Gray rank."""
-
-    def __init__(self, bucket: np.ndarray, values: np.ndarray):
-        order = np.lexsort((gray_rank(values), bucket))
-        self.bucket, self.values = bucket[order], values[order]
-        size = len(values)
-        self.low, self.high = [self.values], [self.values]  # AND and OR of the members
-        self.start = [np.arange(size)]
-        group = self.bucket
-        while len(group) and len(np.unique(group)) < len(group):
-            opens = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            place = np.arange(len(group)) - np.repeat(opens, np.diff(np.r_[opens, len(group)]))
-            heads = np.flatnonzero(place % FAN_OUT == 0)
-            self.low.append(np.bitwise_and.reduceat(self.low[-1], heads))
-            self.high.append(np.bitwise_or.reduceat(self.high[-1], heads))
-            self.start.append(heads)
-            group = group[heads]
-
-    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        heads = self.start[level]
-        ends = np.r_[heads[1:], len(self.low[level - 1])]
-        return heads[nodes], ends[nodes]
-
-    def bounds(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and most differing bits between members of two nodes."""
-        low, high = self.low[level], self.high[level]
-        shared = ~(low[a] ^ high[a]) & ~(low[b] ^ high[b])
-        apart = (low[a] ^ low[b]) & shared
-        least = np.bitwise_count(apart).astype(np.int64)
-        return least, least + 64 - np.bitwise_count(shared)
-
-    def classes(self, radius: int) -> np.ndarray:
-        """For each value (in index order) the least position that it is linked with in its bucket."""
-        label = np.arange(len(self.values))
-        top = len(self.low) - 1
-        spans = [np.arange(len(self.values))]
-        for heads in self.start[1:]:
-            spans.append(spans[-1][heads])
-        step = max(1, PAIRS_AT_ONCE // FAN_OUT**2)
-        stack: list[tuple[int, np.ndarray, np.ndarray]] = []  # undecided pairs, not yet expanded
-
-        def visit(level: int, a: np.ndarray, b: np.ndarray) -> None:
-            if level:
-                one = np.minimum.reduceat(label, spans[level])
-                uniform = one == np.maximum.reduceat(label, spans[level])
-                keep = ~(uniform[a] & uniform[b] & (one[a] == one[b]))
-            else:
-                keep = label[a] != label[b]
-            a, b = a[keep], b[keep]
-            least, most = self.bounds(level, a, b)
-            sure = most <= radius
-            self._join(label, spans[level], level, a[sure], b[sure])
-            undecided = (least <= radius) & ~sure
-            a, b = a[undecided], b[undecided]
-            if level:
-                stack.extend((level, a[i : i + step], b[i : i + step]) for i in range(0, len(a), step))
-
-        roots = np.arange(len(self.low[top]))
-        if len(roots):
-            visit(top, roots, roots)
-        while stack:
-            level, a, b = stack.pop()
-            visit(level - 1, *self._expand(level, a, b))
-        return label
-
-    def _expand(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first_a, end_a = self.children(level, a)
-        first_b, end_b = self.children(level, b)
-        i, j = np.divmod(np.arange(FAN_OUT * FAN_OUT), FAN_OUT)
-        left, right = first_a[:, None] + i, first_b[:, None] + j
-        fine = (left < end_a[:, None]) & (right < end_b[:, None]) & (left <= right)
-        return left[fine], right[fine]
-
-    def _join(self, label: np.ndarray, span: np.ndarray, level: int, a: np.ndarray, b: np.ndarray) -> None:
-        """Merge the classes of all members of the node pairs."""
-        if not len(a):
-            return
-        x, y = span[a], span[b]
-        if level:  # members of one sure node are linked with its first
-            ends = np.r_[span[1:], len(label)]
-            whole = np.unique(np.r_[a, b])
-            count = ends[whole] - span[whole]
-            first = np.repeat(span[whole], count)
-            member = first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            x, y = np.r_[x, first], np.r_[y, member]
-        while True:
-            p, q = label[x], label[y]
-            differ = p != q
-            if not differ.any():
-                return
-            x, y, p, q = x[differ], y[differ], p[differ], q[differ]
-            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-            while True:
-                jump = label[label]
-                if (jump == label).all():
-                    break
-                label[:] = jump
-
-
 def _bits(column: str, low: int, width: int) -> Column:
     return F.shiftrightunsigned(F.col(column), low).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -265,21 +139,19 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """``docs`` with one row of each class of near-duplicates: the least id's (null ids last).
 
     Equal texts are one text from the start. Two texts are linked if the Jaccard similarity of
-    the sets of their word shingles is at least ``similarity``; ``similar.classes`` misses no
-    such pair. Texts that no link joins to an earlier one stay.
+    the sets of their word shingles is at least ``similarity``; ``similar`` says how pairs are
+    found. Texts that no link joins to an earlier one stay.
     """
     columns = docs.columns
-    mark = F.xxhash64("text")
-    named = cut_lineage(docs.select("doc_id", mark.alias("mark")))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")
-    texts = named.groupBy("mark").agg(F.min(order).alias("first"))
-    found = similar.classes(docs.select(mark.alias("mark"), "text"), words, similarity)
-    rooted = texts.join(found, F.col("mark") == F.col("node"), "left").select("first", F.coalesce("component", "mark").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("c")).select(F.col("c.doc_id").alias("d"), F.col("c.mark").alias("m"))
+    texts, members, held = similar.distinct_texts(docs.select("doc_id", "text"), words)
+    found = similar.classes(members, held, words, similarity)
+    rooted = texts.join(found, F.col("id") == F.col("node"), "left").select("first", "mark", F.coalesce("component", "id").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min(F.struct("first", "mark")).alias("c")).select(F.col("c.first.doc_id").alias("d"), F.col("c.mark").alias("m"))
     chosen = cut_lineage(chosen)
-    keys = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_anti")
-    gone = keys.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")).distinct()
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__of")), "left_anti")
-    if not named.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
-        out = out.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"])
+    keys = docs.select("doc_id", similar.mark().alias("mark"))
+    gone = keys.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_anti")
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")).distinct())
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (similar.mark() == F.col("__of")), "left_anti")
+    if not keys.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        out = out.withColumn("__mark", similar.mark()).dropDuplicates(["doc_id", "__mark"])
     return out.select(*columns)

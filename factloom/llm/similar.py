@@ -1,19 +1,24 @@
-"""Classes of texts by exact Jaccard similarity of their word shingles.
+"""Classes of near-duplicate texts: SimHash candidates, exact Jaccard similarity of word shingles.
 
-Prefix filter: the shingles of every text are put in one common order, and two sets of n
-and m shingles with similarity t share one among the first n - ceil(t n) + 1 and
-m - ceil(t m) + 1 of them. So texts meet on the shingles of these prefixes only, and pairs
-whose sizes or places in the order rule the similarity out are dropped; what is left is
-compared by whole sets. No step loses a pair that reaches the similarity, whatever the
-order is. The order puts rare shingles first, by their counts in a sample of the texts, so
-that common lines seldom make texts meet; a poor sample costs time, not pairs.
+Two texts are linked if the Jaccard similarity of the sets of their word shingles is at
+least ``similarity``. At 0.8 their SimHash fingerprints differ in 10 of 64 bits on average
+and seldom in over 20. Blocks of bits that agree within that radius are three bits long and
+tell nothing apart, so fingerprints are dealt by bands of min-hashes of the same shingles:
+16 bands of four miss a pair of similarity 0.8 once in 4600, of 0.85 once in 190 000.
 
-Where large groups meet, rounds over neighbours in shuffled order come first: their
-verified links make classes, and the last round asks all pairs that lie in two classes.
+Each bucket is then searched by the Gray-ordered index of ``simhash``, whose nodes also
+bound the sizes and the classes of their members; every undecided pair within the radius
+goes to the exact test, none is left out for having nearer neighbours. Before that, two
+rounds link each member with one head of its bucket, so that a large group of copies is
+mostly one class, which the index prunes whole, and costs few comparisons.
+
+Buckets over ``hot_bucket`` are cut: their members are dealt to parts, and each two parts
+meet in a bucket of their own.
 
 Edge cases: null and blank texts are similar to each other and to nothing else; a text of
-fewer words than a shingle is one shingle; repeated rows are one text; an empty table gives
-an empty result.
+fewer words than a shingle is one shingle; equal texts are one text; very long texts are
+hashed whole (memory in proportion to the longest); ties don't arise, a class has no order;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,125 +27,189 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
+from factloom.llm.gray import GrayIndex
+from factloom.llm.shingles import majority_bits, shingle_hashes
 from factloom.operators.components import connected_components
 from factloom.runtime import cut_lineage
 
-#: About so many texts are counted to tell common shingles, and so many of these are told apart.
-SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
-#: All pairs are asked at once up to so many for each row of the prefixes that meet.
-PAIRS_PER_ROW = 4
-TEXTS_AT_ONCE = 512
-
-
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``(mark, hs)`` of ``texts(mark, text)``: the hashes of the distinct word shingles."""
-    # words come in a projection of their own: inside a lambda they would be split again for each shingle
-    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    every = F.transform(F.sequence(F.lit(0), F.size("ws") - words), lambda i: F.xxhash64(*[F.get("ws", i + k) for k in range(words)]))
-    few = F.when(F.size("ws") > 0, F.array(F.xxhash64("ws"))).otherwise(F.array().cast("array<bigint>"))
-    return texts.select("mark", tokens.alias("ws")).select("mark", F.array_distinct(F.when(F.size("ws") >= words, every).otherwise(few)).alias("hs"))
-
-
-def _common(sets: DataFrame, total: int) -> np.ndarray:
-    """Shingles of several sampled texts, rarest first."""
-    share = min(1 << 30, max(1, (SAMPLE_TEXTS << 30) // max(1, total)))
-    # hashed again: the marks are hashes that also deal rows
-    some = sets.where(F.shiftrightunsigned(F.xxhash64("mark"), 34) < share)
-    # a plain explode would test the sets in a filter below them, with the words split again for each shingle
-    counts = some.select(F.explode_outer("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2 AND h IS NOT NULL")
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).collect()
-    return np.array([r["h"] for r in reversed(rows)], np.int64)
-
-
-def _prefixes(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """``(h, mark, n, at)``: the first shingles of each set with their places; a set without any has one of its own kind."""
-    by_hash = np.argsort(common)
-    shared = sets.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))  # bounded by COMMON_SHINGLES
-
-    def rows(marks: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        known, rank = shared.value
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.full(len(values), -1)
-        if len(known):
-            near = np.minimum(np.searchsorted(known, values), len(known) - 1)
-            place = np.where(known[near] == values, rank[near], -1)
-        values = values[np.lexsort((values, place, owner))]
-        at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        first = at < (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)[owner]
-        h, mark, n, at = values[first], marks[owner[first]], sizes[owner[first]], at[first]
-        blank = marks[sizes == 0]
-        none = np.zeros(len(blank), np.int64)
-        columns = [np.r_[h, none], np.r_[mark, blank], np.r_[n, none].astype(np.int32), np.r_[at, none].astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "mark", "n", "at"])
+BANDS, BAND_SIZE = 16, 4
+RADIUS = 20
+HOT_BUCKET = 20_000
+#: The rows that a task searches at once; a bucket is never split by it.
+ROWS_AT_ONCE = 200_000
+#: Ids of texts to read again are broadcast up to so many rows, and joined by shuffle beyond.
+BROADCAST_IDS = 500_000
+HASHES_AT_ONCE = 4096
+_FACTORS = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42) | 1 for k in range(BANDS * BAND_SIZE)], np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Keys of the min-hash bands of a set of shingle hashes; one common key for the empty set."""
+    if not len(hashes):
+        return [0]
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    mixed = hashes ^ (hashes >> np.uint64(32))
+    for at in range(0, len(mixed), HASHES_AT_ONCE):
+        least = np.minimum(least, (mixed[at : at + HASHES_AT_ONCE, None] * _FACTORS).min(axis=0))
+    rows = least.reshape(BANDS, BAND_SIZE)
+    return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
+
+
+def summaries(marked: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, mark, fp, n, bands)`` of ``marked(doc_id, mark, text)``; the last three are null for a task's later copies of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies within a task go before the shuffle, the others after it
-        for whole in batches:
-            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(start, TEXTS_AT_ONCE)
-                new = []
-                for mark in batch.column("mark").to_pylist():
-                    new.append(mark not in seen)
+        seen: set[bytes] = set()
+        for batch in batches:
+            prints, sizes, keys = [], [], []
+            for mark, text in zip(batch.column("mark").to_pylist(), batch.column("text"), strict=True):
+                if mark in seen:
+                    found = (None, None, None)
+                else:
                     seen.add(mark)
-                batch = batch.filter(pa.array(new))
-                hashes = batch.column("hs")
-                sizes = np.diff(hashes.offsets.to_numpy()).astype(np.int64)
-                yield rows(batch.column("mark").to_numpy(), sizes, hashes.flatten().to_numpy())
-
-    return sets.mapInArrow(run, "h long, mark long, n int, at int")
-
-
-def _pairs(x: str, y: str, similarity: float) -> Column:
-    """Whether rows of two classes that meet can reach the similarity, by their sizes and what is left behind their places."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    most = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
-    fits = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & ((n == 0) | ((1 + similarity) * most >= similarity * (n + m) - 1e-6))
-    return (F.col(f"{x}.class") != F.col(f"{y}.class")) & fits
-
-
-def _verified(asked: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs ``asked(a, b)`` whose sets of shingles reach the similarity, as ``(src, dst)``."""
-    wanted = asked.select(F.col("a").alias("m")).union(asked.select("b")).distinct()
-    read = texts.join(wanted, F.col("mark") == F.col("m"), "left_semi").dropDuplicates(["mark"])
-    sets = cut_lineage(shingle_sets(read, words))
-    both = asked.join(sets.select(F.col("mark").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("mark").alias("b"), F.col("hs").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - shared
-    near = both.where(F.when(either == 0, F.lit(True)).otherwise(shared >= similarity * either - 1e-9))
-    return cut_lineage(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-
-def classes(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(node, component)`` of the marks in ``texts(mark, text)`` that are similar to another text's."""
-    sets = shingle_sets(texts, words)
-    met = _prefixes(sets, _common(sets, texts.count()), similarity).repartition("h")
-    met = met.groupBy("h", "mark").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    met = met.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").drop("c")
-    met = cut_lineage(met)
-    rows = met.count()
-    found = texts.sparkSession.createDataFrame([], "node long, component long")
-    before = None
-    while True:
-        members = met.join(found, F.col("mark") == F.col("node"), "left").select("h", "mark", "n", "at", F.coalesce("component", "mark").alias("class"))
-        members = cut_lineage(members)
-        sizes = members.groupBy("h", "class").agg(F.count("*").cast("double").alias("c")).groupBy("h")
-        left = sizes.agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        last = left <= PAIRS_PER_ROW * rows or (before is not None and left > 0.9 * before)
-        if last:
-            pairs = members.alias("x").join(members.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.mark") < F.col("y.mark")) & _pairs("x", "y", similarity))
-            pairs = pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
-        else:
-            # one order for all shingles, another in each round, so that a group's neighbours are mostly the same pairs
-            turn = Window.partitionBy("h").orderBy(F.xxhash64("mark", F.lit(int(left))), "mark")
-            whole = F.struct("mark", "n", "at", "class")
-            beside = members.select(whole.alias("x"), F.lag(whole).over(turn).alias("y"))
-            beside = beside.where(F.col("y").isNotNull() & _pairs("x", "y", similarity))
-            pairs = beside.select(F.least("x.mark", "y.mark").alias("a"), F.greatest("x.mark", "y.mark").alias("b"))
-        links = _verified(cut_lineage(pairs.distinct()), texts, words, similarity)
-        found = cut_lineage(connected_components(links.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
-        if last:
-            return found
-        before = left
+                    distinct = np.unique(shingle_hashes(text.as_py(), words))
+                    found = (majority_bits(distinct), len(distinct), bands(distinct))
+                for column, value in zip((prints, sizes, keys), found, strict=True):
+                    column.append(value)
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array([None if p is None else p - (1 << 64 if p >> 63 else 0) for p in prints], pa.int64())]
+            columns += [pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "n", "bands"])
+
+    schema = marked.select("doc_id", "mark").schema.add("fp", "long").add("n", "integer").add("bands", ArrayType(LongType()))
+    return marked.select("doc_id", "mark", "text").mapInArrow(run, schema)
+
+
+def _fits(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+
+
+def verified(asked: DataFrame, held: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs ``asked(a, b)`` whose texts in ``held(id, packed)`` reach the similarity, as ``(src, dst)``."""
+    wanted = asked.select(F.col("a").alias("w")).union(asked.select("b")).distinct()
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    read = cut_lineage(held.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("w"), "left_semi"))
+    both = asked.join(read.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
+    both = both.join(read.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        last: dict[int, tuple[int, np.ndarray]] = {}
+
+        def hashes(side: int, node: int, packed: bytes) -> np.ndarray:
+            if side not in last or last[side][0] != node:
+                last[side] = (node, np.unique(shingle_hashes(unpack(packed), words)))
+            return last[side][1]
+
+        for batch in batches:
+            near = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left, right = hashes(0, a, x), hashes(1, b, y)
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                near.append(shared >= similarity * (len(left) + len(right) - shared) - 1e-9)
+            chosen = batch.filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["src", "dst"])
+
+    return cut_lineage(both.mapInArrow(run, "src long, dst long"))
+
+
+def _pairs(members: DataFrame, radius: int, similarity: float, hot_bucket: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different classes that meet in a bucket of ``members(key, id, fp, n, class)``, within the radius."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("c"), F.min("class").alias("low"), F.max("class").alias("high"))
+    parts = F.ceil(F.col("c") / hot_bucket).cast("int")
+    sizes = cut_lineage(sizes.where("low <> high").select(F.col("key").alias("k"), parts.alias("parts")))
+    open_ = members.join(sizes, F.col("key") == F.col("k")).select("key", "id", "fp", "n", "class", "parts")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    usual = open_.where("parts = 1").select("key", "id", "fp", "n", "class")
+    often = open_.where("parts > 1").select(F.explode(cells).alias("key"), "id", "fp", "n", "class")
+    dealt = usual.unionByName(often).repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, node, fp, size, kind = columns
+            index = GrayIndex(key, fp.view(np.uint64), size, kind)
+            for x, y in index.pairs(radius, similarity):
+                a, b = node[index.order[x]], node[index.order[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        parts: list[list[np.ndarray]] = []
+        for batch in batches:
+            parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(p[0]) for p in parts) >= ROWS_AT_ONCE:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))
+                if cut:
+                    yield from search([c[:cut] for c in columns])
+                parts = [[c[cut:] for c in columns]]
+        if parts:
+            yield from search([np.concatenate(c) for c in zip(*parts, strict=True)])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_classes(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return members.withColumn("class", F.col("id"))
+    return members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "fp", "n", F.coalesce("component", "id").alias("class"))
+
+
+def classes(members: DataFrame, held: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """``(node, component)`` of the ids of ``members(key, id, fp, n)`` that are similar to another's; ``held(id, packed)`` has their texts."""
+    found = None
+    for turn in ("id", "key"):  # one order for all buckets first, so that a group mostly has one head
+        now = _with_classes(members, found)
+        head = F.min(F.struct(F.xxhash64("id", F.lit(7)) if turn == "id" else F.xxhash64("id", "key"), "id", "fp", "n", "class"))
+        heads = now.groupBy("key").agg(head.alias("h")).select(F.col("key").alias("k"), "h")
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= radius
+        asked = now.join(heads, F.col("key") == F.col("k")).where((F.col("class") != F.col("h.class")) & _fits(F.col("n"), F.col("h.n"), similarity) & near)
+        asked = cut_lineage(asked.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct())
+        found = _joined(verified(asked, held, words, similarity), found)
+    asked = cut_lineage(_pairs(_with_classes(members, found), radius, similarity, hot_bucket))
+    return _joined(verified(asked, held, words, similarity), found)
+
+
+def _joined(links: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is not None:
+        links = links.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+    return cut_lineage(connected_components(links))
+
+
+def mark(text: str = "text") -> Column:
+    """Digest of a text, 16 bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def distinct_texts(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs(doc_id, text)``: ``(id, mark, first)`` per distinct text, ``(key, id, fp, n)`` per band that another text has too, and ``(id, packed)``, these texts.
+
+    ``first`` is the row that stands for the text: the least id, null ids last.
+    """
+    marked = docs.select("doc_id", mark().alias("mark"), "text")
+    rows = cut_lineage(summaries(marked, words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    summary = F.first(F.when(F.col("n").isNotNull(), F.struct("fp", "n", "bands")), ignorenulls=True).alias("s")
+    texts = cut_lineage(rows.groupBy("mark").agg(first, summary).select(F.monotonically_increasing_id().alias("id"), "mark", "first", "s.*"))
+    keys = texts.select(F.explode("bands").alias("key"), "id", "fp", "n")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
+    members = cut_lineage(keys.join(shared, F.col("key") == F.col("k")).drop("k"))
+
+    ids = members.select(F.col("id").alias("i")).distinct()
+    wanted = cut_lineage(texts.join(ids, F.col("id") == F.col("i")).select("id", F.col("mark").alias("m"), F.col("first.doc_id").alias("d")))
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    read = marked.join(wanted, (F.col("mark") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = [press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+    held = cut_lineage(read.mapInArrow(pack, "id long, packed binary").dropDuplicates(["id"]))
+    return texts.select("id", "mark", "first"), members, held
