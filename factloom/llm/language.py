@@ -3,17 +3,24 @@
 A model holds, per language, log relative frequencies of its words and of character
 n-grams (orders ``max_order`` down to 1, words padded with a boundary sign). A word that
 the model knows in any language is scored by its word frequencies. An unseen word is read
-from its start: at each place the longest known n-gram is scored and stepped over, and a
-place without any known n-gram costs the floor. A text's language is the one with the
-highest sum over all its words.
+from its start to its end: at each place the longest known n-gram is scored and stepped
+over, and a place without any known n-gram costs the floor; the word's score is the mean.
+A text's language is the one with the highest sum over all its words.
 
-The model is bounded: it is fitted on at most about ``fit_rows`` labelled rows (chosen by a
-hash of the text, so that equal tables give equal models) and keeps the ``max_words`` and
-``max_grams`` most frequent entries of each language. Every row is predicted on its whole text.
+The score is the softmax of these sums for ``EVIDENCE * n / (EVIDENCE + n)`` words in place
+of n, as the words of a text aren't independent: one law for texts of any length.
+
+The model is fitted on at most about ``fit_rows`` distinct labelled texts, chosen by a hash
+of the text, so that equal tables give equal models. It keeps every word and n-gram that
+occurs at least twice (``min_count``) in them, whatever the table's size. Every row is
+predicted on its whole text, every word on all its letters.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; ties go to the
 first language in code point order; without any labelled row all rows are ``und``; rows
-with a null ``lang`` are predicted but not learned from; other columns pass through.
+with a null ``lang`` are predicted but not learned from; repeated rows are fitted once and
+predicted alike; very long texts and words take time and memory in proportion; an empty
+table gives an empty result; other columns pass through, and columns named as the results
+are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +44,10 @@ EDGE = "\x01"
 UNKNOWN = "und"
 #: An unseen word counts this much of a known one.
 GRAM_WEIGHT = 0.5
+#: The number of independent words that a text's evidence tends to.
+EVIDENCE = 50
+#: Unseen words are remembered within a task up to this length, and up to so many of them.
+CACHED_LETTERS, CACHED_WORDS = 64, 100_000
 
 
 @dataclass(frozen=True)
@@ -51,7 +62,7 @@ class LanguageModel:
 
     def unseen(self, word: str) -> tuple[float, ...]:
         """Mean score of the longest known n-grams of a word, per language."""
-        padded, at, used = f"{EDGE}{word[:64]}{EDGE}", 0, 0
+        padded, at, used = f"{EDGE}{word}{EDGE}", 0, 0
         total = [0.0] * len(self.langs)
         while at < len(padded):
             for order in range(min(self.max_order, len(padded) - at), 0, -1):
@@ -74,15 +85,16 @@ class LanguageModel:
         for word, n in counts.items():
             scores = self.words.get(word) or cache.get(word)
             if scores is None:
-                if len(cache) >= 100_000:
-                    cache.clear()
-                scores = cache[word] = self.unseen(word)
+                scores = self.unseen(word)
+                if len(word) <= CACHED_LETTERS:
+                    if len(cache) >= CACHED_WORDS:
+                        cache.clear()
+                    cache[word] = scores
             for i in range(size):
                 total[i] += n * scores[i]
             seen += n
         best = max(range(size), key=lambda i: (total[i], -i))
-        # evidence of a long text saturates: its words aren't independent
-        scale = min(seen, 50) / seen
+        scale = EVIDENCE / (EVIDENCE + seen)
         return self.langs[best], 1 / sum(math.exp(max(-700.0, scale * (x - total[best]))) for x in total)
 
 
@@ -92,57 +104,46 @@ def _tables(counts: dict[str, Counter], langs: tuple[str, ...], floor: float) ->
     return {k: tuple(math.log(counts[lang][k] / sums[lang]) if counts[lang][k] else floor for lang in langs) for k in keys}
 
 
-def _least_counts(histogram: list, most: int) -> dict[str, int]:
-    """For each language the least count whose words, with all more frequent ones, are at most ``most``.
+def _grams(word: Column, max_order: int) -> Column:
+    """All n-grams of the padded word, repeats included; lengths count code points."""
+    padded = F.concat(F.lit(EDGE), word, F.lit(EDGE))
+
+    def of(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(padded) - size + 1)
+        return F.when(F.length(padded) >= size, F.transform(places, lambda i: F.substring(padded, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
-    The histogram has a row per distinct count, so no task ever sorts a language's words.
-    """
-    found: dict[str, int] = {}
-    total: Counter = Counter()
-    for lang, n, words in sorted(histogram, key=lambda r: (r[0], -r[1])):
-        total[lang] += words
-        if total[lang] <= most or lang not in found:
-            found[lang] = n
-    return found
+    return F.flatten(F.array(*[of(n) for n in range(1, max_order + 1)]))
 
 
-def fit(
-    labelled: DataFrame, fit_rows: int = 20_000, max_words: int = 20_000, max_grams: int = 20_000, max_order: int = 4, floor: float = -16.0
-) -> LanguageModel:
-    """Fit on ``labelled(text, lang)``; word counts are aggregated by Spark, only bounded tables reach the driver."""
+def fit(labelled: DataFrame, fit_rows: int = 20_000, min_count: int = 2, max_order: int = 4, floor: float = -16.0) -> LanguageModel:
+    """Fit on ``labelled(text, lang)``; counts are aggregated by Spark, only what ``fit_rows`` texts repeat reaches the driver."""
     rows = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.count()
     if total > fit_rows:  # a hash threshold, not a sort: about fit_rows rows whatever the table's size
         share = int(fit_rows / total * (1 << 30))
         rows = rows.where(F.shiftrightunsigned(F.xxhash64("text", "lang"), 34) < share)
+    rows = rows.dropDuplicates()  # copies share a hash, so a large group of them is one row
     words = (
-        rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(SQL_WORD), F.lit(0))).alias("word"))
-        .groupBy("lang", "word")
+        rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(SQL_WORD), F.lit(0))).alias("entry"))
+        .groupBy("lang", "entry")
         .agg(F.count("*").alias("n"))
     )
     words = cut_lineage(words)
-    least = _least_counts(words.groupBy("lang", "n").agg(F.count("*").alias("words")).collect(), max_words)
-    bounds = [F.lit(x) for item in least.items() for x in item]
-    kept = words.where(F.col("n") >= F.create_map(*bounds)[F.col("lang")]).collect() if bounds else []
-    by_word: dict[str, Counter] = defaultdict(Counter)
-    by_gram: dict[str, Counter] = defaultdict(Counter)
-    for lang, word, n in kept:
-        if n > 1 or len(kept) < 2000:
-            by_word[lang][word] = n
-        padded = f"{EDGE}{word[:64]}{EDGE}"
-        for order in range(1, max_order + 1):
-            for i in range(len(padded) - order + 1):
-                by_gram[lang][padded[i : i + order]] += n
-    langs = tuple(sorted({lang for lang, _, _ in kept}))
-    for lang in langs:
-        by_gram[lang] = Counter(dict(sorted(by_gram[lang].items(), key=lambda x: (-x[1], x[0]))[:max_grams]))
-    return LanguageModel(langs, _tables(by_word, langs, floor), _tables(by_gram, langs, floor), max_order, floor)
+    grams = words.select("lang", "n", F.explode(_grams(F.col("entry"), max_order)).alias("entry")).groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+    tables = []
+    for counted in (words, grams):
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for lang, entry, n in counted.where(F.col("n") >= min_count).collect():
+            counts[lang][entry] = n
+        tables.append(counts)
+    langs = tuple(sorted({r["lang"] for r in words.select("lang").distinct().collect()}))
+    return LanguageModel(langs, *(_tables(counts, langs, floor) for counts in tables), max_order, floor)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` without ``text``, with ``lang_pred`` and ``score``."""
     rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams per language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by what fit_rows texts repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[float, ...]] = {}
