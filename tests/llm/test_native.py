@@ -98,6 +98,58 @@ def test_shards_hold_every_row_once(spark):
     assert sharding.shard(docs.limit(0), 40).count() == 0
 
 
+def fisher_yates(size, bucket, hashes):
+    left, out = list(range(size)), []
+    for last in range(size - 1, -1, -1):
+        drawn = hashes[bucket, last] % (last + 1)
+        out.append(left[drawn])
+        left[drawn] = left[last]
+        left.pop()
+    return out
+
+
+def brute_places(spark, docs, shards, seed, bucket_bytes, bucket_rows):
+    """(shard, slot) of each row by lists; only the hash function is the engine's."""
+    columns = docs.columns
+    copies = Counter()
+    keyed = []
+    for r in docs.select("*", F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")).collect():
+        keyed.append((r["h1"], r["h2"], copies[tuple(r)], (r["doc_id"], r["text"])))
+        copies[tuple(r)] += 1
+    total = sum(len((r[3][1] or "").encode()) + 16 for r in keyed)
+    n = max(1, -(-total // bucket_bytes), -(-len(keyed) // bucket_rows))
+    rows = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(keyed)], "i int, a long, b long, c long")
+    dealt = {r["i"]: r["h"] % n for r in rows.select("i", F.xxhash64(F.lit(seed), "a", "b", "c").alias("h")).collect()}
+    buckets = [sorted((r for i, r in enumerate(keyed) if dealt[i] == b), key=lambda r: r[:3]) for b in range(n)]
+    steps = spark.createDataFrame([(b, i) for b, x in enumerate(buckets) for i in range(len(x))], "b long, i int")
+    draws = {(r["b"], r["i"]): r["h"] for r in steps.select("b", "i", F.xxhash64(F.lit(seed), "b", "i").alias("h")).collect()}
+    order = [x[k][3] for b, x in enumerate(buckets) for k in fisher_yates(len(x), b, draws)]
+    return Counter((row, p % shards, p // shards) for p, row in enumerate(order))
+
+
+@pytest.mark.parametrize(("partitions", "copies_at_once", "broadcast_rows"), [(3, 100_000, 100_000), (7, 4, 100_000), (2, 7, 1)])
+def test_shards_match_a_plain_placement(spark, monkeypatch, partitions, copies_at_once, broadcast_rows):
+    """The same places whatever the partitions are, with a third of the rows equal."""
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", copies_at_once)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(sharding, "GROUP", 3)
+    docs = documents(spark, 6, 200)
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None)] * 100, DOCS)).repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = sharding.shard(docs, 7, seed=9, bucket_bytes=1500, bucket_rows=25)
+        rows = Counter(((r["doc_id"], r["text"]), r["shard"], r["slot"]) for r in found.collect())
+        assert rows == brute_places(spark, docs, 7, 9, 1500, 25)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sharding_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(i, "x" * (5_000_000 if i == 3 else 5)) for i in range(20)], "doc_id long, text string")
+    assert sorted(r["n"] for r in sharding.shard(docs, 4).select(F.length("text").alias("n")).collect()) == [5] * 19 + [5_000_000]
+
+
 def test_sharding_query(spark, tmp_path):
     found = queries.op4_sharding(spark, SF)
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
