@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other operators are held against brute force in ``tests/llm``."""
-    return {"op5_chat_formatting": chat.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op10_licence_scan": licences.oracle_sql()}
+    return {"op3_decontamination": decontaminate.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op10_licence_scan": licences.oracle_sql()}

@@ -34,7 +34,7 @@ def spark_rows(df):
     return Counter(tuple(sorted((k, str(v)) for k, v in r.asDict().items())) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["op5_chat_formatting", "op8_mixing", "op10_licence_scan"])
+@pytest.mark.parametrize("name", ["op3_decontamination", "op5_chat_formatting", "op8_mixing", "op10_licence_scan"])
 def test_queries_match_their_sql(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == sql_rows(queries.oracle_sql()[name])
 
@@ -212,6 +212,43 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0 == decontaminate.leaks(frame, bench.limit(0)).count()
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_leaks_with_and_without_broadcast(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "CHUNK", 16)
+    docs, items = leaky(4)
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in found.collect()} == brute_leaks(docs, items)
+
+
+def test_fingerprints_lose_few_similar_windows(spark):
+    """Share of the pairs that pass the radius, by similarity; the rest of the search is the same without one."""
+    rng = random.Random(8)
+    items, docs = [], []
+    for i in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(20, 80))]
+        items.append((i, " ".join(words)))
+        for j in range(3):
+            edited = list(words)
+            for _ in range(rng.randint(0, len(words) // 40 + 1)):
+                edited[rng.randrange(len(edited))] = f"x{rng.randrange(10**6)}"
+            docs.append((3 * i + j, " ".join([f"y{rng.randrange(10**6)}" for _ in range(10)] + edited)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"] for r in decontaminate.leaks(*frames).collect()}
+    every = {r["doc_id"]: r["similarity"] for r in decontaminate.leaks(*frames, radius=63).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        band = {d for d, s in every.items() if low <= s < high}
+        assert len(band) > 20 and len(band & found) >= 0.98 * len(band)
+
+
+def test_leaks_in_very_long_texts(spark):
+    long_run = "the " * 300_000
+    docs = [(1, long_run), (2, "x" * 5_000_000), (3, " " * 5_000_000), (4, "some words here " * 100_000 + "one two three four five six seven eight nine ten")]
+    items = [(1, "the " * 30), (2, "one two three four five six seven eight nine ten")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in found.collect()} == {(1, 1, 1.0, 0), (4, 2, 1.0, 300_000)}
+
+
 def test_licences_inherit_from_the_nearest_folder(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."),
