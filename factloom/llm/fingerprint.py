@@ -1,22 +1,33 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
-A text is cut into pieces (at line ends and punctuation); the digest of each piece and of
-its ordinal among equal pieces goes to one cell of each of three sub-tables. Two sketches
-are subtracted cell by cell, and peeling recovers the digests that differ. Where peeling
-fails, both sketches are built anew with four times the cells, until it succeeds.
-
-The likeness of two texts is that of their multisets of pieces (shared over all), with the
-number of shared pieces derived from the sizes in the sketches and the recovered digests.
-
-Edge cases: a null text counts as empty; two empty texts have likeness 1; repeated rows
-stay, in ``(doc_id, text)`` order, null ids first; an empty table gives an empty result;
-other columns are ignored.
+A text is cut into paragraphs (its lines; a line of over ``LONG_LINE`` characters counts
+sentence by sentence). Their digests go to one cell of each of three sub-tables of a sketch.
+A paragraph that occurs c times has a digest for its 1st, 2nd, 4th ... occurrence and, if c
+is no power of two, one for c, so that repeats are seen and cost little.
+
+A fingerprint is the number of digests and the cells, in base 64. Sub-tables have a power of
+two of cells, the least from a bound on the number of digests up with which the sketch, peeled
+on its own, gives all its digests back: so sets can always be had from fingerprints alone.
+
+Two fingerprints are compared by subtracting cells; the larger is folded to the smaller's
+size first. Peeling recovers the digests that differ, with the side that has them. Where it
+fails, the comparison is repeated with what each fingerprint yields at its own size, which
+can't fail. The likeness is that of the two sets, shared over all digests.
+
+Edge cases: a null text counts as empty; two empty texts have likeness 1, an empty and another
+one 0; repeated rows stay; rows follow each other by ``doc_id`` and, where that is equal, by a
+hash of the text and the text; null ids come first; the last row is followed by the first, a
+single row by itself; a very long text takes memory in proportion to its distinct paragraphs;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = re.compile(r"[^\n.,;:!?]+")
-#: Cells of each sub-table of the sketch that is stored.
-THIRD = 4
-#: Cells that one round of peeling holds at most (beyond one pair's own).
+LONG_LINE = 320
+SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+")
+LEAST_THIRD = 4
+#: Cells that one round of peeling holds at most (beyond one row's own).
 CELLS_AT_ONCE = 1 << 21
-MAX_BUCKETS = 10_000
+BUCKET_BYTES = 4 << 20
+#: Ranges of ids; beyond this number ranges grow. A range is streamed in order, never held.
+MAX_BUCKETS = 20_000
+CELL = np.dtype([("count", "<i2"), ("keys", "<u8"), ("check", "<u4")])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _OFFSETS = [np.uint64(0x9E3779B97F4A7C15 * j & 0xFFFFFFFFFFFFFFFF) for j in (1, 2, 3)]
 
@@ -42,20 +56,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def digests(text: str) -> np.ndarray:
-    """One digest per piece; the k-th of equal pieces is hashed with seed k."""
-    seen: dict[str, int] = {}
+def paragraphs(text: str) -> list[str]:
+    """The pieces of a text; no character but line ends is left out."""
     out = []
-    for piece in PIECE.findall(text):
-        piece = piece.strip()
-        if piece:
-            k = seen[piece] = seen.get(piece, -1) + 1
-            out.append(xxhash.xxh64_intdigest(piece, k))
-    return np.array(out, np.uint64)
+    for line in text.split("\n") if text else ():
+        out += [line] if len(line) <= LONG_LINE else SENTENCE.findall(line)
+    return out
+
+
+def digests(text: str) -> np.ndarray:
+    """Sorted digests of the paragraphs and of how often they occur."""
+    out = set()
+    for piece, count in Counter(paragraphs(text)).items():
+        kth = 1
+        while kth <= count:
+            out.add(xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), kth))
+            kth *= 2
+        if 2 * count != kth:
+            out.add(xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), count))
+    return np.array(sorted(out), np.uint64)
 
 
 class Sketches:
-    """Sketches of many key sets, a row of cells each."""
+    """Sketches of many key sets, a row of cells each; ``third`` is a power of two."""
 
     def __init__(self, sets: list[np.ndarray], third: int):
         self.third = third
@@ -67,8 +90,14 @@ class Sketches:
         self.check = np.zeros(rows * width, np.uint64)
         self._toggle(row, keys, 1)
 
+    @classmethod
+    def of(cls, third: int, count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> Sketches:
+        out = cls([], third)
+        out.count, out.keys, out.check = count, keys, check
+        return out
+
     def cells(self, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        places = [_mix(keys + offset) % np.uint64(self.third) + np.uint64(j * self.third) for j, offset in enumerate(_OFFSETS)]
+        places = [(_mix(keys + offset) & np.uint64(self.third - 1)) + np.uint64(j * self.third) for j, offset in enumerate(_OFFSETS)]
         return (row * (3 * self.third))[None, :] + np.array(places).astype(np.int64)
 
     def _toggle(self, row: np.ndarray, keys: np.ndarray, sign: np.ndarray | int) -> None:
@@ -79,16 +108,25 @@ class Sketches:
             np.bitwise_xor.at(self.check, place, check)
 
     def __sub__(self, other: Sketches) -> Sketches:
-        out = Sketches([], self.third)
-        out.count, out.keys, out.check = self.count - other.count, self.keys ^ other.keys, self.check ^ other.check
-        return out
+        return Sketches.of(self.third, self.count - other.count, self.keys ^ other.keys, self.check ^ other.check)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """Recovered digests per row, and whether the row's cells all ended empty; uses the sketch up."""
+    def fold(self, third: int) -> Sketches:
+        """The same sets in sub-tables of ``third`` cells."""
+        shape = (-1, 3, self.third // third, third)
+        xor = [np.bitwise_xor.reduce(x.reshape(shape), axis=2).ravel() for x in (self.keys, self.check)]
+        return Sketches.of(third, self.count.reshape(shape).sum(axis=2).ravel(), *xor)
+
+    def copy(self) -> Sketches:
+        return Sketches.of(self.third, self.count.copy(), self.keys.copy(), self.check.copy())
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, keys and signs of the recovered digests, and whether the row's cells all ended empty; uses the sketch up."""
         width = 3 * self.third
-        found = np.zeros(len(self.count) // width, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         look = np.flatnonzero(np.abs(self.count) == 1)
-        while len(look):
+        rounds = 64 + 2 * width  # a false match could otherwise toggle for ever
+        while len(look) and rounds:
+            rounds -= 1
             look = look[(np.abs(self.count[look]) == 1) & (self.check[look] == _mix(self.keys[look] ^ _GOLD) & np.uint64(0xFFFFFFFF))]
             if not len(look):
                 break
@@ -97,41 +135,103 @@ class Sketches:
             first = np.r_[True, (row[order][1:] != row[order][:-1]) | (keys[order][1:] != keys[order][:-1])]
             one = order[first]
             row, keys, sign = row[one], keys[one], sign[one]
-            np.add.at(found, row, 1)
+            found.append((row, keys, sign))
             self._toggle(row, keys, -sign)
             look = np.unique(self.cells(row, keys))
         full = (self.count != 0) | (self.keys != 0) | (self.check != 0)
-        return found, ~full.reshape(-1, width).any(axis=1)
-
-    def texts(self, sizes: list[int]) -> list[str]:
-        """Each row as text: size, then count, keys and check of each cell, in hexadecimal."""
-        cell = np.zeros(len(self.count), np.dtype([("c", ">i4"), ("k", ">u8"), ("h", ">u4")]))
-        cell["c"], cell["k"], cell["h"] = self.count, self.keys, self.check
-        width = 3 * self.third * cell.dtype.itemsize
-        raw = cell.tobytes()
-        return [f"{n:08x}{raw[i * width : (i + 1) * width].hex()}" for i, n in enumerate(sizes)]
-
-
-def differences(left: list[np.ndarray], right: list[np.ndarray], third: int = THIRD) -> np.ndarray:
-    """Number of digests that only one of each two sets has."""
-    out = np.zeros(len(left), np.int64)
-    todo = np.arange(len(left))
-    while len(todo):
-        step = max(1, CELLS_AT_ONCE // (3 * third))
-        failed = []
-        for at in range(0, len(todo), step):
-            part = todo[at : at + step]
-            diff = Sketches([left[i] for i in part], third) - Sketches([right[i] for i in part], third)
-            found, fine = diff.peel()
-            out[part[fine]] = found[fine]
-            failed.append(part[~fine])
-        todo, third = np.concatenate(failed), third * 4
+        none = np.zeros(0, np.int64)
+        rows, keys, signs = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none.astype(np.uint64), none)
+        return rows, keys, signs, ~full.reshape(-1, width).any(axis=1)
+
+
+def least_third(size: int) -> int:
+    """Cells of a sub-table to begin with: half as many as digests, and two."""
+    third = LEAST_THIRD
+    while third < size // 2 + 2:
+        third *= 2
+    return third
+
+
+def _chunks(rows: list[int], third: int) -> Iterator[list[int]]:
+    step = max(1, CELLS_AT_ONCE // (3 * third))
+    for at in range(0, len(rows), step):
+        yield rows[at : at + step]
+
+
+def sketch(sets: list[np.ndarray]) -> list[bytes]:
+    """The fingerprint of each set, as bytes."""
+    out: list[bytes] = [b""] * len(sets)
+    todo: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        todo.setdefault(least_third(len(s)), []).append(i)
+    while todo:
+        third = min(todo)
+        for part in _chunks(todo.pop(third), third):
+            made = Sketches([sets[i] for i in part], third)
+            cells = np.zeros(len(made.count), CELL)
+            cells["count"], cells["keys"], cells["check"] = made.count, made.keys, made.check
+            width = 3 * third
+            *_, fine = made.peel()
+            for k, i in enumerate(part):
+                if fine[k]:
+                    out[i] = struct.pack("<IB", len(sets[i]), third.bit_length()) + cells[k * width : (k + 1) * width].tobytes()
+                else:
+                    todo.setdefault(2 * third, []).append(i)
+    return out
+
+
+def _load(prints: list[bytes], third: int) -> Sketches:
+    """Sketches of fingerprints, folded to one size."""
+    parts = []
+    for p in prints:
+        cells = np.frombuffer(p, CELL, offset=5)
+        parts.append(Sketches.of(1 << p[4] - 1, cells["count"].astype(np.int64), cells["keys"].astype(np.uint64), cells["check"].astype(np.uint64)).fold(third))
+    return Sketches.of(third, *(np.concatenate([getattr(x, name) for x in parts]) for name in ("count", "keys", "check")))
+
+
+def recovered(print_: bytes) -> np.ndarray:
+    """The digests of a fingerprint."""
+    _, keys, _, fine = _load([print_], 1 << print_[4] - 1).peel()
+    assert fine.all()
+    return np.sort(keys)
+
+
+def differences(left: list[bytes], right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each two fingerprints the digests that only the left and only the right one has."""
+    none = np.zeros(0, np.uint64)
+    out = [(none, none)] * len(left)
+    todo: dict[int, list[int]] = {}
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        if a != b:
+            todo.setdefault(1 << min(a[4], b[4]) - 1, []).append(i)
+    for third, rows in todo.items():
+        for part in _chunks(rows, third):
+            row, keys, sign, fine = (_load([left[i] for i in part], third) - _load([right[i] for i in part], third)).peel()
+            order = np.lexsort((keys, row))
+            row, keys, sign = row[order], keys[order], sign[order]
+            ends = np.searchsorted(row, np.arange(len(part) + 1))
+            for k, i in enumerate(part):
+                if fine[k]:
+                    own, way = keys[ends[k] : ends[k + 1]], sign[ends[k] : ends[k + 1]]
+                    out[i] = own[way > 0], own[way < 0]
+                else:
+                    a, b = recovered(left[i]), recovered(right[i])
+                    out[i] = np.setdiff1d(a, b), np.setdiff1d(b, a)
+    return out
+
+
+def likeness(left: list[bytes], right: list[bytes], apart: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    """Shared over all digests, from the numbers in the fingerprints and what differs."""
+    out = []
+    for a, b, (x, y) in zip(left, right, apart, strict=True):
+        n, m = struct.unpack_from("<I", a)[0], struct.unpack_from("<I", b)[0]
+        shared = n - len(x)
+        out.append(shared / (n + m - shared) if n + m else 1.0)
     return out
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> list[float]:
-    apart = differences(left, right).tolist()
-    return [1.0 if len(a) + len(b) == 0 else (len(a) + len(b) - d) / (len(a) + len(b) + d) for a, b, d in zip(left, right, apart, strict=True)]
+def _hex(keys: np.ndarray) -> str:
+    return ",".join(f"{k:016x}" for k in keys.tolist())
 
 
 def edit(text: str, following: str) -> str:
@@ -142,67 +242,73 @@ def edit(text: str, following: str) -> str:
 
 def _rows(ids: list, texts: list[str], following: list[str]) -> tuple[list, ...]:
     edited = [edit(a, b) for a, b in zip(texts, following, strict=True)]
-    own, new = [digests(t) for t in texts], [digests(t) for t in edited]
-    known = {t: d for t, d in zip(texts, own, strict=True)}
-    after = [known[t] if t in known else digests(t) for t in following]
+    every = list(dict.fromkeys([*texts, *edited, *following]))
+    known = dict(zip(every, sketch([digests(t) for t in every]), strict=True))
+    own, new, after = ([known[t] for t in x] for x in (texts, edited, following))
+    changed = differences(own, new)
     return (
         ids,
         [len(t) for t in texts],
-        [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited],
-        Sketches(own, THIRD).texts([len(d) for d in own]),
-        Sketches(new, THIRD).texts([len(d) for d in new]),
-        likeness(own, new),
-        likeness(own, after),
+        [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
+        [base64.b64encode(p).decode() for p in own],
+        [base64.b64encode(p).decode() for p in new],
+        likeness(own, new, changed),
+        likeness(own, after, differences(own, after)),
+        [_hex(x) for x, _ in changed],
+        [_hex(y) for _, y in changed],
     )
 
 
-def with_next(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """Rows of ``(doc_id, text)`` dealt to id ranges and sorted; each range ends with the next one's first row (``head``).
+def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Rows ``(bucket, head, doc_id, h, text)`` of ``docs``, dealt to ranges; each range ends with the next one's first row (``head``).
 
-    Ranges hold about ``bucket_bytes`` of text (more where there would be over ``MAX_BUCKETS``),
-    so only that many splitters and range numbers reach the driver.
+    Null ids are dealt by ranges of the text's hash, others by ranges of the id, of about
+    ``bucket_bytes`` each (more where there would be over ``MAX_BUCKETS``); so only that many
+    splitters and range numbers reach the driver.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total, least = rows.agg(F.sum(F.octet_length("text").cast("long") + 16), F.min("doc_id")).first()
-    parts = max(1, min(MAX_BUCKETS, (total or 0) // bucket_bytes + 1))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.octet_length("text").cast("long") + 16
+    total, lost = rows.agg(F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
+    share = max(bucket_bytes, (total or 0) // MAX_BUCKETS + 1)
+    nulls, parts = ((lost or 0) // share + 1 if lost else 0), ((total or 0) - (lost or 0)) // share + 1
     cuts: list = []
-    if parts > 1 and least is not None:
+    if parts > 1:
         shares = ",".join(f"{i / parts:.6f}" for i in range(1, parts))
-        cuts = sorted(set(rows.agg(F.expr(f"approx_percentile(doc_id, array({shares}), {max(10_000, 20 * parts)})")).first()[0]))
+        cuts = sorted(set(rows.agg(F.expr(f"approx_percentile(doc_id, array({shares}), {max(10_000, 10 * parts)})")).first()[0]))
     points = np.array(cuts)
 
     @F.pandas_udf("int")
     def dealt(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(points, ids.fillna(0).to_numpy(), side="right")) if len(points) else np.zeros(len(ids)), dtype="int32")
+        return pd.Series(np.searchsorted(points, ids.fillna(0).to_numpy(), side="right") + nulls, dtype="int32")
 
-    spread = rows.withColumn("bucket", dealt("doc_id") if len(points) else F.lit(0))
-    firsts = spread.groupBy("bucket").agg(F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("bucket").collect()
+    by_hash = F.floor((F.shiftright("h", 32) + (1 << 31)) * nulls / (1 << 32)).cast("int")
+    by_id = dealt("doc_id") if len(points) else F.lit(nulls)
+    spread = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), by_hash).otherwise(by_id))
+    firsts = spread.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("f")).orderBy("bucket").collect()
     if not firsts:
-        return spread.withColumn("head", F.lit(False)).select("bucket", "head", "doc_id", "text")
-    ids = [None if r["has_null"] else r["first_id"] for r in firsts]
+        return spread.select("bucket", F.lit(False).alias("head"), "doc_id", "h", "text")
     owners = [r["bucket"] for r in firsts]
-    before = [owners[i - 1] for i in range(len(owners))]
-    marks = docs.sparkSession.createDataFrame(list(zip(owners, ids, before, strict=True)), f"b int, i {dict(rows.dtypes)['doc_id']}, before int")
-    heads = spread.join(F.broadcast(marks), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("i")))
-    heads = heads.groupBy("b", "before", "doc_id").agg(F.min("text").alias("text"))
-    heads = heads.select(F.col("before").alias("bucket"), F.lit(True).alias("head"), "doc_id", "text")
-    return spread.select("bucket", F.lit(False).alias("head"), "doc_id", "text").unionByName(heads)
+    marks = [(b, r["f"]["doc_id"], r["f"]["h"], owners[i - 1]) for i, (b, r) in enumerate(zip(owners, firsts, strict=True))]
+    marks = docs.sparkSession.createDataFrame(marks, f"b int, i {dict(rows.dtypes)['doc_id']}, k long, before int")
+    same = (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))
+    heads = spread.join(F.broadcast(marks), same).groupBy("before", "doc_id", "h").agg(F.min("text").alias("text"))
+    heads = heads.select(F.col("before").alias("bucket"), F.lit(True).alias("head"), "doc_id", "h", "text")
+    return spread.select("bucket", F.lit(False).alias("head"), "doc_id", "h", "text").unionByName(heads)
 
 
-def fingerprint(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """Sketches of every text and its edited text, and their likeness; see the module."""
-    dealt = with_next(docs, bucket_bytes).repartition("bucket").sortWithinPartitions("bucket", "head", "doc_id", "text")
+def fingerprint(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Fingerprints of every text and its edited text, their likeness, and the digests that the edit removed and added; see the module."""
+    dealt = with_next(docs, bucket_bytes).repartition("bucket").sortWithinPartitions("bucket", "head", "doc_id", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                bucket, head = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ids, texts = part.column(2), part.column(3).to_pylist()
-                rows = list(zip(bucket, head, ids.to_pylist(), texts, strict=True))
+                head, ids, texts = part.column(1).to_pylist(), part.column(2), part.column(4).to_pylist()
+                rows = list(zip(head, ids.to_pylist(), texts, strict=True))
                 rows, last = ([last] if last else []) + rows, rows[-1]
-                pairs = [(a[2], a[3], b[3]) for a, b in zip(rows, rows[1:], strict=False) if not a[1]]
+                pairs = [(a[1], a[2], b[2]) for a, b in zip(rows, rows[1:], strict=False) if not a[0]]
                 if pairs:
                     found = _rows(*map(list, zip(*pairs, strict=True)))
                     yield pa.RecordBatch.from_arrays([pa.array(found[0], ids.type), *map(pa.array, found[1:])], names=schema.fieldNames())
@@ -212,4 +318,4 @@ def fingerprint(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
         schema = schema.add(name, "string")
     for name in ("near_edited", "near_next"):
         schema = schema.add(name, "double")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema.add("removed", "string").add("added", "string"))
