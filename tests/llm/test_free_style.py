@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -150,29 +153,55 @@ def test_simhash_of_nothing(spark):
 
 def test_sketches_recover_differences():
     rng = random.Random(1)
-    sets = [np.array(sorted({rng.getrandbits(64) for _ in range(rng.randint(0, 300))}), np.uint64) for _ in range(40)]
-    other = [np.array(sorted(set(rng.sample(s.tolist(), len(s) // 2)) | {rng.getrandbits(64) for _ in range(rng.randint(0, 9))}), np.uint64) for s in sets]
-    apart = fingerprint.differences(sets, other)
-    assert apart.tolist() == [len(set(a.tolist()) ^ set(b.tolist())) for a, b in zip(sets, other, strict=True)]
+    sets = [np.array(sorted({rng.getrandbits(64) for _ in range(rng.randint(0, 300))}), np.uint64) for _ in range(60)]
+    other = [np.array(sorted(set(rng.sample(s.tolist(), len(s) // rng.choice([1, 2, 30]))) | {rng.getrandbits(64) for _ in range(rng.choice([0, 9, 900]))}), np.uint64) for s in sets]
+    left, right = fingerprint.sketch(sets), fingerprint.sketch(other)
+    assert [fingerprint.recovered(p).tolist() for p in left] == [s.tolist() for s in sets]
+    for (x, y), a, b in zip(fingerprint.differences(left, right), sets, other, strict=True):
+        assert (set(x.tolist()), set(y.tolist())) == (set(a.tolist()) - set(b.tolist()), set(b.tolist()) - set(a.tolist()))
+
+
+def brute_digests(text):
+    pieces = []
+    for line in text.split("\n") if text else []:
+        pieces += [line] if len(line) <= 320 else re.findall(r"[^.!?]+[.!?]*|[.!?]+", line)
+    out = set()
+    for piece in set(pieces):
+        n = pieces.count(piece)
+        out |= {xxhash.xxh64_intdigest(piece, k) for k in [2**j for j in range(40) if 2**j <= n] + [n]}
+    return out
 
 
 def test_fingerprints_follow_the_next_document(spark):
     rng = random.Random(2)
-    texts = ["".join(rng.choice("ab .\né") for _ in range(rng.randint(0, 200))) for _ in range(70)] + [None, ""]
-    ids = rng.sample(range(-50, 200), len(texts))
+    texts = ["of none", "of none either"] + ["".join(rng.choice("ab .\né") for _ in range(rng.choice([0, 50, 200, 900]))) for _ in range(70)] + [None, "", "x. " * 200, "\n" * 300]
+    ids = [None, None, *rng.sample(range(-50, 200), len(texts) - 2)]
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
-    found = {r["doc_id"]: r for r in fingerprint.fingerprint(docs).collect()}
-    order = sorted(zip(ids, texts, strict=True))
+    clash = docs.withColumns({n: F.lit("clash") for n in ("h", "head", "bucket", "fingerprint", "k")})
+    found = {r["n_chars"] if r["doc_id"] is None else (r["doc_id"],): r for r in fingerprint.fingerprint(clash, 1500).collect()}
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     prints = {}
     for k, (i, text) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        row = found[i]
+        row = found[len(text) if i is None else (i,)]
         assert (row["n_chars"], row["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert prints.setdefault(text, row["fingerprint"]) == row["fingerprint"]
-        own, new = (set(fingerprint.digests(t).tolist()) for t in (text, edited))
-        assert row["near_edited"] == pytest.approx(len(own & new) / len(own | new) if own | new else 1.0)
+        own, new, following = (brute_digests(t) for t in (text, edited, after))
+        raw = [base64.b64decode(row[c]) for c in ("fingerprint", "edited_fingerprint")]
+        assert [set(fingerprint.recovered(p).tolist()) for p in raw] == [own, new]
+        assert row["near_edited"] == (len(own & new) / len(own | new) if own | new else 1.0)
+        assert row["near_next"] == (len(own & following) / len(own | following) if own | following else 1.0)
+        assert (row["removed"], row["added"]) == tuple(",".join(f"{x:016x}" for x in sorted(s)) for s in (own - new, new - own))
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    texts = ["\n" * 5_000_000, "x" * 5_000_000, "x. " * 1_500_000, " " * 5_000_000, "".join(f"line {i}\n" for i in range(300_000))]
+    rows = {r["doc_id"]: r for r in fingerprint.fingerprint(frame(spark, texts)).collect()}
+    assert [rows[i]["n_chars"] for i in range(5)] == [len(t) for t in texts]
+    assert rows[4]["near_edited"] == pytest.approx(0.5, abs=0.03) and rows[0]["near_next"] < 0.1
 
 
 def test_fingerprints_over_many_ranges(spark):
@@ -194,6 +223,76 @@ def test_pii_base_matches_plain_patterns():
         assert [s[1:] for s in spans if s[0] == "email"] == [m.span() for m in EMAIL.finditer(text)]
         fine = [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
         assert [s[1:] for s in spans if s[0] == "ip"] == fine
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        fine = [m.span() for m in CARD.finditer(text) if 12 <= len(digits(m)) <= 19 and plain_luhn(digits(m))]
+        assert [s[1:] for s in spans if s[0] == "card"] == fine
+        fine = [m.span() for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+        assert [s[1:] for s in spans if s[0] == "phone"] == fine
+
+
+def plain_luhn(digits):
+    doubled = [int(d) for d in digits[-1::-2]] + [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
+    return sum(doubled) % 10 == 0
+
+
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def test_pii_cards_and_phones_match_plain_patterns():
+    rng = random.Random(7)
+    seen = Counter()
+    for _ in range(4000):
+        text = "".join(rng.choice(["4", "1", "0", "7", " ", "-", "(", ")", ".", " x ", "+", "+4"] + ["11", "23"] * 5) for _ in range(rng.randint(8, 40)))
+        spans = pii.base_spans(text)
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        for kind, pattern, fine in (("card", CARD, lambda d: 12 <= len(d) <= 19 and plain_luhn(d)), ("phone", PHONE, lambda d: 9 <= len(d) <= 15)):
+            expected = [m.span() for m in pattern.finditer(text) if fine(digits(m))]
+            assert [s[1:] for s in spans if s[0] == kind] == expected
+            seen[kind] += len(expected)
+    assert min(seen.values()) > 50
+
+
+def test_pii_added_spans_match_a_plain_rule():
+    """Random texts of parts whose spans are known: disguised ones must be added, plain ones and prose not."""
+    rng = random.Random(11)
+    spell = {"en": "zero one two three four five six seven eight nine", "de": "null eins zwei drei vier fünf sechs sieben acht neun", "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve"}
+    plus = {"en": "plus", "de": "plus", "fr": "plus", "es": "más"}
+    for _ in range(300):
+        text, base, added = "", [], []
+        for _ in range(rng.randint(0, 8)):
+            kind = rng.randrange(6)
+            lang = rng.choice(list(spell))
+            if kind == 0:
+                part = f"{rng.choice('abc')}bob@ex{rng.randrange(99)}.org"
+                base.append(("email", len(text), len(text) + len(part)))
+            elif kind == 1:
+                at = rng.choice(["(at)", "[ AT ]", "{arroba}", "at", "arobase", "@"])
+                dot = rng.choice(["[dot]", "(.)", "dot", "punto", "point"])
+                part = f"bob {at} ex dot com" if at == "@" else f"bob {at} ex {dot} com"
+                part = part.replace(" @ ", "@")
+                added.append(("email", len(text), len(text) + len(part)))
+            elif kind == 2:
+                digits = "".join(rng.choice("0123456789") for _ in range(11))
+                part = " ".join([plus[lang], *(spell[lang].split()[int(d)] for d in digits)])
+                added.append(("phone", len(text), len(text) + len(part)))
+            elif kind == 3:
+                part = "\U0001d41b\U0001d428\U0001d41b@ex.org"
+                added.append(("email", len(text), len(text) + len(part)))
+            else:
+                part = rng.choice(["See you at home.", "uno dos tres", "un point", "é", "Meet at noon (at best)"])
+            text += part + rng.choice([" ; ", "\n", " / "])
+        found = pii.base_spans(text)
+        assert [s for s in found if s[0] == "email"] == base
+        order = lambda s: (s[1], pii.KINDS.index(s[0]), s[2])
+        assert pii.all_spans(text, found) == sorted({*found, *added} - {s for s in found if s not in base}, key=order)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "(", "(" + " " * 2_000_000, "a@" * 500_000, "+1 " * 500_000, "1" * 2_000_000, "1." * 1_000_000, "one " * 500_000, "x at " * 400_000, "at dot " * 300_000, "a@b.c " * 100_000 + "b [at] c [dot] d " * 50_000, "а" * 500_000, "x" * 5_000_000])
+def test_pii_in_very_long_texts_is_linear(text):
+    begin = time.perf_counter()
+    spans = pii.all_spans(text, pii.base_spans(text))
+    assert time.perf_counter() - begin < 30 and all(a < b for _, a, b in spans)
 
 
 @pytest.mark.parametrize(
@@ -206,6 +305,13 @@ def test_pii_base_matches_plain_patterns():
         ("x ４１１１１１１１１１１１１１１１", "card", "４１１１１１１１１１１１１１１１"),
         ("plus one nine eight eight five five five two four eight five", "phone", "plus one nine eight eight five five five two four eight five"),
         ("bo​b@example.com", "email", "bo​b@example.com"),
+        ("bob [at] example dot com", "email", "bob [at] example dot com"),
+        ("x bob@example dot com", "email", "bob@example dot com"),
+        ("bob at example [dot] com", "email", "bob at example [dot] com"),
+        ("bob (arroba) example (punto) com", "email", "bob (arroba) example (punto) com"),
+        ("bob at " + "e" * 64 + " dot com", "email", "bob at " + "e" * 64 + " dot com"),
+        ("\U0001d7d9\U0001d7da.0.0.1 x", "ip", "\U0001d7d9\U0001d7da.0.0.1"),
+        ("más tres cuatro nueve uno dos tres cuatro cinco seis siete", "phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete"),
     ],
 )
 def test_pii_disguises(text, kind, part):
@@ -225,6 +331,7 @@ def test_pii_rows(spark):
     found = {r["doc_id"]: r for r in pii.find(docs).collect()}
     assert found[0]["spans"] == "email:0:5,ip:6:13" and found[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert found[0]["base_sha256"] == hashlib.sha256(b"email:0:5,ip:6:13").hexdigest()
+    assert pii.find(docs.limit(0)).count() == 0
 
 
 def test_language_on_held_out_rows(spark):
