@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import chat, decontaminate, licences, mixing, queries, sharding
+from factloom.llm.licence_texts import TEMPLATES
 
 SF = "/root/testdata/sf0.01"
 TABLES = ("documents", "conversations", "benchmark")
@@ -285,3 +288,56 @@ def test_licences_inherit_from_the_nearest_folder(spark):
         ]
     )
     assert licences.scan(files.limit(0)).count() == 0
+
+
+LABELLED = [
+    ("/* SPDX-License-Identifier: MIT */\nint main();", "MIT"),
+    ("# SPDX-License-Identifier: BSD-3-Clause\n", "BSD-3-Clause"),
+    ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+    ("GNU General Public License version 2", "GPL-2.0"),
+    ("# This file is licensed under the MIT license.\nimport os\n" + "x = 1\n" * 50, "MIT"),
+    ("Distributed under the GPL v2 or later", "GPL-2.0"),
+    ("Covered by the LGPL, version 2.1 or later", "LGPL-2.1"),
+    ("This work is licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Mozilla Public License, v. 2.0", "MPL-2.0"),
+    ("Boost Software License 1.0", "BSL-1.0"),
+    ("GNU General Public License", None),
+    ("Released under the BSD License", None),
+    ("Copyright (c) 2020 Foo. All rights reserved.", None),
+    ("The licence of this product was revoked by the court", None),
+    ("He got his driving license in 1999, and with permission sold it.", None),
+    ("All work is licensed to the company under a general agreement", None),
+    ("SPDX-License-Identifier: LicenseRef-Own", None),
+    ("no warranty was given, and the copyright of the song is held by its author", None),
+]
+
+
+def test_licences_of_labelled_texts(spark):
+    own = [(n or None, t) for n, ts in TEMPLATES.items() for t in ts]
+    wrapped = [(n, "/*\n * Copyright (C) 2019 A. Author\n *\n" + "\n".join(f" * {line}" for line in textwrap.wrap(t, 66)) + "\n */\nint x;\n" * 3) for n, t in own if len(t) > 200]
+    rows = [(f"{i}/x.c", t, n) for i, (t, n) in enumerate(LABELLED + [(t, n) for n, t in own + wrapped])]
+    found = licences.scan(spark.createDataFrame(rows, "path string, text string, label string")).collect()
+    wrong = [(r["path"], r["label"], r["own_licence"]) for r in found if r["label"] != r["own_licence"]]
+    assert not wrong, wrong
+
+
+# Names under which a system may keep whole licence texts.
+COMMON = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": None}
+
+
+@pytest.mark.skipif(not pathlib.Path("/usr/share/common-licenses").is_dir(), reason="no licence texts here")
+def test_whole_licence_files(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    rows = [(f"{name}/LICENSE", (folder / name).read_text(errors="replace"), label) for name, label in COMMON.items() if (folder / name).is_file()]
+    rows += [(f"{name}/src/a.c", "int x;", label) for name, label in COMMON.items() if (folder / name).is_file()]
+    found = licences.scan(spark.createDataFrame(rows, "path string, text string, label string")).collect()
+    wrong = [(r["path"], r["label"], r["licence"]) for r in found if r["label"] != r["licence"]]
+    assert not wrong, wrong
+
+
+def test_licences_in_very_long_texts(spark):
+    rows = [("a/x", "x " * 2_000_000 + "\nReleased under the MIT License.\n"), ("a/y", "licence " * 500_000), ("a/z", "\n" * 3_000_000 + "warranty")]
+    found = {r["path"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {"a/x": "MIT", "a/y": None, "a/z": None}
