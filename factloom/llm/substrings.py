@@ -20,9 +20,15 @@ of shifts by a core that is nearly the whole window, so that equal strings colla
 run and no range gathers a large group. Contexts that occur twice in one task are settled
 there; only one of them travels, without its positions.
 
+In a stretch that repeats itself every few bytes (blank runs, ruled lines) each period would
+be an anchor. Of these only the ones near its ends stay, and so many between that each window
+still holds one: a window in the middle equals the one that lies as far on as the anchors do.
+
 Edge cases: null and empty texts have nothing to remove; repeated rows are documents of
-their own (all their long strings occur twice); null ids are kept and matched as equal; an
-empty table gives an empty result; other columns are ignored.
+their own (all their long strings occur twice); null ids are kept and matched as equal; very
+long texts are read in pieces, and stretches of short period cost few anchors; ties between
+least hashes all count as anchors, so that equal windows name equal places; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +44,12 @@ from pyspark.sql import functions as F
 
 from factloom.runtime import cut_lineage
 
-WINDOW_STARTS_AT_ONCE = 1 << 21
+WINDOW_STARTS_AT_ONCE = 1 << 20
 RUN_BYTES = 48 << 20
 RANGE_BYTES = 16 << 20
 HOT = 10_000
 HOT_SPAN = 8
+ANCHORS_AT_ONCE = 20_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -89,9 +96,31 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
     least[np.cumsum(steps[:-1]) > 0] = 0
     none = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(h == _slide(np.concatenate([none, least, none]), width, np.maximum)[: len(h)])
+    at = at[_thinned(at, h[at], np.searchsorted(starts, at, side="right"), length)]
     return at, h[at]
 
 
+def _thinned(at: np.ndarray, h: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """Which anchors stay: of stretches of equal ones at equal distances, no longer than the core, those near the ends and some between."""
+    stay = np.ones(len(at), bool)
+    if len(at) < 3:
+        return stay
+    core = core_length(length)
+    apart = np.diff(at)
+    alike = (h[1:] == h[:-1]) & (text[1:] == text[:-1]) & (apart <= core)
+    goes_on = alike[1:] & alike[:-1] & (apart[1:] == apart[:-1])  # the anchor between two equal distances
+    opens = np.flatnonzero(goes_on & ~np.r_[False, goes_on[:-1]])
+    shuts = np.flatnonzero(goes_on & ~np.r_[goes_on[1:], False]) + 2
+    for first, last in zip(opens.tolist(), shuts.tolist(), strict=True):
+        low = int(np.searchsorted(at, at[first] + 2 * length))
+        high = int(np.searchsorted(at, at[last] - 2 * length, side="right"))
+        if low < high:
+            every = max(1, (length - core) // int(apart[first]))
+            middle = np.arange(low, high)
+            stay[middle[(middle - first) % every != 0]] = False
+    return stay
+
+
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -176,12 +205,20 @@ class Contexts:
 
     def run(self) -> Iterator[tuple[int, bytes]]:
         """The sorted front-coded run as (range, packed) rows; what it can settle has range -1."""
-        rows, room, target, refs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
+        width = self.length + self.span
         # the room is part of the key: texts may hold the byte that pads
-        key = np.concatenate([target.astype(">u4").view(np.uint8).reshape(-1, 4), rows, room.astype(">u2").view(np.uint8).reshape(-1, 4)], axis=1)
+        key = np.empty((sum(len(p[0]) for p in self.parts), width + 8), np.uint8)
+        room, target, refs = (np.concatenate([p[i] for p in self.parts]) for i in (1, 2, 3))
+        at = 0
+        while self.parts:
+            part = self.parts.pop(0)[0]
+            key[at : at + len(part), 4:-4] = part
+            at += len(part)
+        self.size = 0
+        key[:, :4] = target.astype(">u4").view(np.uint8).reshape(-1, 4)
+        key[:, -4:] = room.astype(">u2").view(np.uint8).reshape(-1, 4)
         order = _sorted(key)
-        key, rows, room, target, refs = key[order], rows[order], room[order], target[order], refs[order]
+        key, room, target, refs = key[order], room[order], target[order], refs[order]
         fresh = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
         group = np.cumsum(fresh) - 1
         count = np.bincount(group)
@@ -191,7 +228,8 @@ class Contexts:
             some = low <= high
             yield -1, _pack_found(refs[again][some], low[some], high[some], self.length)
         heads = np.flatnonzero(fresh)
-        rows, room, target, refs, count = rows[heads], room[heads], target[heads], refs[heads], count
+        rows, room, target, refs = key[heads, 4:-4], room[heads], target[heads], refs[heads]
+        del key
         cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield int(target[a]), _pack_run(rows[a:b], room[a:b], refs[a:b], count[a:b] > 1)
@@ -367,6 +405,26 @@ def _unkey(raw: bytes) -> tuple[int | None, int]:
     return (None if raw[16] == 1 else int.from_bytes(raw[:8], "big", signed=True)), int.from_bytes(raw[8:16], "big", signed=True)
 
 
+def _stepped(own: np.ndarray, place: np.ndarray, hashes: np.ndarray, steps: range | list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place and hash of the contexts at each step before the anchors, each place of a row once, in slices."""
+    order = np.lexsort((place, own))
+    own, place, hashes = own[order], place[order], hashes[order]
+    shift, last = np.int64(1) << np.int64(40), np.zeros(0, np.int64)
+    for i in range(0, len(own), ANCHORS_AT_ONCE):
+        part = slice(i, i + ANCHORS_AT_ONCE)
+        at = np.concatenate([place[part] - step for step in steps])
+        key = np.concatenate([own[part]] * len(steps)) * shift + at
+        key, first = np.unique(key[at >= 0], return_index=True)
+        which = (np.flatnonzero(at >= 0)[first]) % len(own[part])
+        fresh = ~np.isin(key, last)  # steps from two anchors can meet, in the slice before too
+        key, which = key[fresh], which[fresh]
+        if i + ANCHORS_AT_ONCE < len(own):
+            least = own[i + ANCHORS_AT_ONCE] * shift + place[i + ANCHORS_AT_ONCE] - max(steps)
+            last = np.concatenate([last[last >= least], key[key >= least]])
+        for j in range(0, len(key), 4_000):
+            yield key[j : j + 4_000] // shift, key[j : j + 4_000] % shift, hashes[part][which[j : j + 4_000]]
+
+
 FOUND = "doc_id long, mark long, start long, stop long"
 
 
@@ -426,16 +484,10 @@ def repeated(docs: DataFrame, length: int = 200, hot: int = HOT, range_bytes: in
             keys = np.array([_key(d, m) for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], "S24")
             core_hash = h.view(np.uint64)
             for contexts, mine, steps in ((usual, ~is_hot, [0]), (often, is_hot, range(0, wide + 1, narrow + 1))):
-                own = np.concatenate([owner[mine]] * len(steps))
-                at = np.concatenate([place[mine] - step for step in steps])
-                _, once = np.unique(np.stack([own, at]), axis=1, return_index=True)  # steps from two anchors can meet
-                once = once[at[once] >= 0]
-                for i in range(0, len(once), 4_000):
-                    part = once[i : i + 4_000]
-                    refs = np.zeros(len(part), REF)
-                    refs["row"], refs["at"] = keys[own[part]], at[part]
-                    hashes = core_hash[mine][part] if contexts is usual else None
-                    contexts.add(data, offsets[own[part]], offsets[own[part] + 1], offsets[own[part]] + at[part], hashes, refs)
+                for own, at, hashes in _stepped(owner[mine], place[mine], core_hash[mine], steps):
+                    refs = np.zeros(len(own), REF)
+                    refs["row"], refs["at"] = keys[own], at
+                    contexts.add(data, offsets[own], offsets[own + 1], offsets[own] + at, hashes if contexts is usual else None, refs)
                     if contexts.size >= RUN_BYTES:
                         yield send(contexts)
         for contexts in (usual, often):

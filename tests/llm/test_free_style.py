@@ -50,7 +50,8 @@ def made_texts(seed, n=40):
             a = rng.randint(0, 20)
             parts.append(piece[a : a + rng.randint(5, 80)] if rng.random() < 0.6 else "".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 60))))
         texts.append("".join(parts))
-    return [*texts, texts[0], None, "", "a" * 150, "a\x00" * 40]
+    periodic = ["é" * 150, "ab" * 130 + "c", "x" + "ab" * 130, "abc" * 40 + "ab" + "abc" * 90, " " * 41, "  " * 300 + "q" + " " * 43, "-=" * 11]
+    return [*texts, texts[0], None, "", "a" * 150, "a\x00" * 40, *periodic]
 
 
 @pytest.mark.parametrize(("seed", "length", "hot"), [(1, 20, 10_000), (2, 20, 3), (3, 33, 2), (4, 12, 5)])
@@ -76,6 +77,38 @@ def test_substrings_of_repeated_rows_and_null_ids(spark):
     assert substrings.remove(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_substrings_at_200_bytes_through_the_query(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(70)) for _ in range(8)]
+    texts = [" ".join([word() for _ in range(rng.randint(0, 60))] + rng.choices([*passages, " " * 700, "-" * 201, "= " * 450], k=rng.randint(0, 3)) + [word()]) for _ in range(60)]
+    texts += [None, "", texts[3], "x" * 199, "x" * 200, "y" * 5000, "xyz" * 68]
+    frame(spark, texts).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    raws, spans = brute_spans(texts, 200)
+    found = {r["doc_id"]: r for r in q.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts) and any(spans)
+    for d, (raw, mine) in enumerate(zip(raws, spans, strict=True)):
+        kept, at = b"", 0
+        for a, b in mine:
+            kept, at = kept + raw[at:a], b
+        kept += raw[at:]
+        row = found[d]
+        assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (len(raw), len(raw) - len(kept), len(mine), hashlib.sha256(kept).hexdigest())
+
+
+def test_substrings_of_very_long_texts(spark):
+    texts = [" " * 5_000_000, "ab" * 1_000_000, "".join(chr(97 + (i * i * 7919 >> 5) % 26) for i in range(3_000_000)), "- " * 300 + "end"]
+    docs = frame(spark, texts).withColumns({n: F.lit("clash") for n in ("mark", "h", "d", "found", "kept")})
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substrings.remove(docs).drop("kept", "spans").collect()}
+    assert found[0] == (5_000_000, 5_000_000, 1) and found[1] == (2_000_000, 2_000_000, 1) and found[3] == (603, 600, 1)
+
+
+def test_few_anchors_in_periodic_texts():
+    for text in (b" " * 300_000, b"-=" * 150_000, b"0123456789" * 30_000):
+        at, _ = substrings.anchors(np.frombuffer(text, np.uint8), np.zeros(1, np.int64), 200)
+        assert len(at) < 4_000
+
+
 def test_loser_tree_yields_common_prefixes():
     rng = random.Random(5)
     for ways in (1, 2, 3, 7):
