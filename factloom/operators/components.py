@@ -30,17 +30,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("src") != F.col("dst")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``; a component is named by its least node.
 
-    Self-loops give a node of its own; null endpoints are ignored. Rounds are logarithmic
-    in the number of nodes; each is materialised in the checkpoint folder.
+    Self-loops give a node of its own; null endpoints are ignored. Rounds go on until one
+    changes nothing; they are logarithmic in the number of nodes, and each is materialised
+    in the checkpoint folder.
     """
     clean = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
     clean = cut_lineage(clean.distinct())
     nodes = clean.select(F.col("src").alias("node")).union(clean.select("dst")).distinct()
     stars, mark = clean.where("src <> dst"), None
-    for _ in range(max_rounds):
+    while True:
         stars = cut_lineage(_star(_star(stars, large=True), large=False))
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:

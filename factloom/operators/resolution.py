@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
@@ -89,7 +89,12 @@ def score(pairs: DataFrame, recs: DataFrame, config: Config = Config(), names: b
     metres = C.haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     seconds = F.abs(F.col("time_a").cast("double") - F.col("time_b").cast("double"))
     both = both.withColumns({"metres": metres, "seconds": seconds, "magnitudes": F.abs(F.col("magnitude_a") - F.col("magnitude_b"))})
-    both = both.withColumn("names", jaro_winkler_column("label_a", "label_b") if names else F.lit(None).cast("double"))
+    if names:  # few names make many pairs: each two are compared once
+        told = both.select("label_a", "label_b").where("label_a IS NOT NULL AND label_b IS NOT NULL").distinct()
+        told = told.withColumn("names", jaro_winkler_column("label_a", "label_b"))
+        both = both.join(told, ["label_a", "label_b"], "left")
+    else:
+        both = both.withColumn("names", F.lit(None).cast("double"))
 
     def row(name: str, present: Column, agrees: Column, weight: Column, left: Column, right: Column) -> Column:
         made = F.struct(F.lit(name).alias("comparator"), left.alias("a_value"), right.alias("b_value"), weight.alias("contribution"), agrees.alias("agree"))
@@ -129,8 +134,15 @@ def clusters(recs: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def unmerge(accepted: DataFrame, position: int) -> DataFrame:
     """Accepted pairs, in order of ``(a, b)``, without the one at ``position``; out of range changes nothing."""
-    at = F.row_number().over(Window.orderBy("a", "b")) - 1
-    return accepted.withColumn("at", at).where(F.col("at") != position).drop("at")
+    if position < 0:
+        return accepted
+    one = accepted.select(F.col("a").alias("x"), F.col("b").alias("y")).orderBy("x", "y").offset(position).limit(1)
+    return unmerge_pair(accepted, one)
+
+
+def unmerge_pair(accepted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Accepted pairs without those in ``pairs(x, y)``."""
+    return accepted.join(pairs, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
 
 
 def stats(recs: DataFrame, scored: DataFrame, found: DataFrame, config: Config = Config()) -> DataFrame:

@@ -26,6 +26,20 @@ def in_box(box: Box) -> Column:
     return degrees("v_lat_e7").between(south, north) & degrees("v_lon_e7").between(west, east)
 
 
+def about_boxes(boxes: list[Box]) -> Column:
+    """Stored columns that hold for every position in one of the boxes (and a few beside them): key ranges and whole coordinates.
+
+    Plain comparisons of stored columns with literals, so that they reach the Parquet scan.
+    """
+    ranges = merge_ranges([r for box in boxes for r in box_ranges(box)])
+    sides = F.lit(False)
+    for south, west, north, east in boxes:
+        if south <= north and west <= east:
+            lat = F.col("v_lat_e7").between(math.floor(south * 1e7) - 1, math.ceil(north * 1e7) + 1)
+            sides = sides | (lat & F.col("v_lon_e7").between(math.floor(west * 1e7) - 1, math.ceil(east * 1e7) + 1))
+    return C.in_ranges(F.col("morton"), ranges) & sides
+
+
 def distance_from(lat: float, lon: float) -> Column:
     return C.haversine_m(F.lit(float(lat)), F.lit(float(lon)), degrees("v_lat_e7"), degrees("v_lon_e7"))
 
@@ -91,19 +105,29 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def box_filter(geo: DataFrame, box: Box) -> DataFrame:
     """Geometry facts in a box: Z-order ranges for skipping, then the exact test."""
-    return geo.where(C.in_ranges(F.col("morton"), box_ranges(box)) & in_box(box))
+    return geo.where(about_boxes([box]) & in_box(box))
 
 
 def radius_filter(geo: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
     """Geometry facts within a distance, with ``distance_m``; also across the antimeridian and at the poles."""
-    ranges = merge_ranges([r for box in radius_boxes(lat, lon, metres) for r in box_ranges(box)])
-    near = geo.where(C.in_ranges(F.col("morton"), ranges)).withColumn("distance_m", distance_from(lat, lon))
+    near = geo.where(about_boxes(radius_boxes(lat, lon, metres))).withColumn("distance_m", distance_from(lat, lon))
     return near.where(F.col("distance_m") <= metres)
 
 
-def nearest(geo: DataFrame, lat: float, lon: float, k: int) -> DataFrame:
-    """The k nearest geometry facts, ties by fact id; each task keeps k rows."""
-    return geo.withColumn("distance_m", distance_from(lat, lon)).orderBy("distance_m", "fact_id").limit(k)
+def nearest(geo: DataFrame, lat: float, lon: float, k: int, reach_m: float | None = None) -> DataFrame:
+    """The k nearest geometry facts, ties by fact id; each task keeps k rows.
+
+    With ``reach_m`` a circle of that radius is counted first, through the key ranges, and made
+    four times as wide until it holds k facts or the whole Earth; only the facts in it are ranked.
+    """
+    near = geo
+    while reach_m is not None and reach_m < HALF_WORLD_M:
+        circle = radius_filter(geo, lat, lon, reach_m)
+        if circle.limit(k).count() >= k:
+            near = circle
+            break
+        reach_m *= 4
+    return near.withColumn("distance_m", distance_from(lat, lon)).orderBy("distance_m", "fact_id").limit(k)
 
 
 def range_rows(geo: DataFrame, box: Box) -> DataFrame:

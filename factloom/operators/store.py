@@ -51,17 +51,22 @@ def txn_at_or_before(txns: DataFrame, wall_clock: int) -> DataFrame:
 def txn_asof(instants: DataFrame, txns: DataFrame, key: str, wall: str) -> DataFrame:
     """``(key, txn_id)``: the last transaction at or before each instant.
 
-    Instants and transactions are cut into days, so the running maximum is per day and the
-    days before are one small table: no task sees the whole line of time.
+    Instants and transactions are cut into minutes: the running maximum is taken within a
+    minute, over the minutes of a day and over days, so no task sees a busy day's rows or the
+    whole line of time.
     """
-    day = 86_400
+    day, minute = 86_400, 60
     marks = txns.select(F.col("wall_clock_unix").alias("at"), F.lit(0).alias("side"), "txn_id", F.lit(None).cast("long").alias("k"))
     asked = instants.select(F.col(wall).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("txn_id"), F.col(key).cast("long").alias("k"))
-    both = marks.unionByName(asked).withColumn("day", F.floor(F.col("at") / day))
-    in_day = F.max("txn_id").over(Window.partitionBy("day").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    days = both.groupBy("day").agg(F.max("txn_id").alias("last"))
-    before = days.select("day", F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    found = both.withColumn("within", in_day).where("side = 1").join(before, "day", "left")
+    both = marks.unionByName(asked).withColumn("minute", F.floor(F.col("at") / minute))
+    inside = F.max("txn_id").over(Window.partitionBy("minute").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    minutes = both.groupBy("minute").agg(F.max("txn_id").alias("last")).withColumn("day", F.floor(F.col("minute") * minute / day))
+    days = minutes.groupBy("day").agg(F.max("last").alias("last"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("day").alias("d"), F.max("last").over(upto(Window.orderBy("day"))).alias("day_before"))
+    minutes = minutes.withColumn("minute_before", F.max("last").over(upto(Window.partitionBy("day").orderBy("minute"))))
+    before = minutes.join(days, F.col("day") == F.col("d")).select("minute", F.coalesce("minute_before", "day_before").alias("before"))
+    found = both.withColumn("within", inside).where("side = 1").join(before, "minute", "left")
     return found.select(F.col("k").alias(key), F.coalesce("within", "before", F.lit(0)).alias("txn_id"))
 
 
@@ -84,6 +89,23 @@ def chunk_stats(facts: DataFrame) -> DataFrame:
     )
 
 
+#: Key cells of 2^12 by 2^12 over the Earth, of which the counts per attribute are kept.
+CELL_SHIFT = 40
+
+
+def key_cells(facts: DataFrame) -> DataFrame:
+    """``(attr, cell, rows)``: positions by attribute and Z-order cell, for estimates without reading facts."""
+    held = facts.where(F.col("morton").isNotNull())
+    return held.groupBy("attr", F.shiftrightunsigned("morton", CELL_SHIFT).alias("cell")).agg(F.count("*").alias("rows"))
+
+
+def rows_in_ranges(cells: DataFrame, attr: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """``(rows)``: at most so many positions of the attribute lie in the key ranges."""
+    wide = [(low >> CELL_SHIFT, high >> CELL_SHIFT) for low, high in ranges]
+    fits = (F.col("attr") == attr) & C.in_ranges(F.col("cell"), wide)
+    return cells.where(fits).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
 def chunk_can_match(valid_at: int, sys_at: int) -> Column:
     return (F.col("min_sys_from") <= sys_at) & (F.col("max_sys_to") > sys_at) & (F.col("min_valid_from") <= valid_at) & (F.col("max_valid_to") > valid_at)
 
@@ -199,6 +221,12 @@ def as_facts(staged: DataFrame, txn_id: Column, fact_id: Column) -> DataFrame:
     return rows.select(*FACT_COLUMNS)
 
 
-def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
-    """Store facts in system order, so that row groups bound ``sys_from`` tightly."""
-    facts.repartitionByRange("sys_from", "fact_id").sortWithinPartitions("sys_from", "fact_id").write.mode(mode).parquet(path)
+#: Orders in which facts are stored: by what became known, by entity (history, inspection) or by place.
+ORDERS = {"system": ("sys_from", "fact_id"), "entity": ("entity", "fact_id"), "space": ("morton", "fact_id")}
+
+
+def write_facts(facts: DataFrame, path: str, mode: str = "append", order: str = "system", partitions: int | None = None) -> None:
+    """Store facts in one of ``ORDERS``, so that row groups bound its leading column tightly and scans skip the others."""
+    keys = ORDERS[order]
+    dealt = facts.repartitionByRange(partitions, *keys) if partitions else facts.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).write.mode(mode).parquet(path)

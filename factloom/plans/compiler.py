@@ -49,9 +49,23 @@ def condition(node: object, values: dict[str, dict[str, Column]]) -> Column:
     return compare(node, values[node.field])
 
 
-def entities(facts: DataFrame, query: Query, binding: Binding, valid_at: int, sys_at: int, now: int, place: tuple[float, float] | None = None) -> DataFrame:
+def boxes(query: Query, place: tuple[float, float] | None = None) -> list[spatial.Box]:
+    """Boxes outside of which no position matters to the query's spatial clauses; none if it has none."""
+    if query.bbox is not None:
+        return [query.bbox]
+    at = _place(query, place)
+    return spatial.radius_boxes(*at, query.within.metres) if at is not None else []
+
+
+def entities(
+    facts: DataFrame, query: Query, binding: Binding, valid_at: int, sys_at: int, now: int, place: tuple[float, float] | None = None, by_space: bool = True
+) -> DataFrame:
     """The visible positions of passing entities, with their sort key and scalar, unordered.
 
+    With ``by_space`` a spatial clause first selects the entities that have a position in its
+    boxes, by key ranges and whole coordinates that reach the scan; only their facts are
+    aggregated. The outcome is the same without.
+
     Each entity's first values are aggregated before the shuffle, so an entity with very many
     facts sends a row per task; positions are then joined to the entities that pass. Only the
     attributes that the query reads take part (``since`` looks at all of them), and only the
@@ -61,6 +75,11 @@ def entities(facts: DataFrame, query: Query, binding: Binding, valid_at: int, sy
     wanted = list(dict.fromkeys([binding.geo_attr, binding.scalar_attr, *query.fields()]))
     seen = facts.where(C.visible(valid_at, sys_at))
     read = seen if query.since is not None else seen.where(F.col("attr").isin(*wanted))
+    rows = seen.where((F.col("attr") == binding.geo_attr) & (F.col("kind") == C.GEO))
+    if by_space and (about := boxes(query, place)):
+        found = rows.where(spatial.about_boxes(about))
+        read = read.join(found.select(F.col("entity").alias("e")).distinct(), F.col("entity") == F.col("e"), "left_semi")
+        rows = found if query.bbox is not None else rows
     made: list[Column] = [F.min("fact_id").alias("entity_first"), F.max("valid_from").alias("latest")]
     values: dict[str, dict[str, Column]] = {}
     for i, name in enumerate(wanted):
@@ -84,7 +103,6 @@ def entities(facts: DataFrame, query: Query, binding: Binding, valid_at: int, sy
     kept = [F.col("entity").alias("e"), "entity_first", values[binding.scalar_attr]["num"].alias("scalar_value")]
     if query.order_by:
         kept.append(values[query.order_by]["num"].alias("sort_key"))
-    rows = seen.where((F.col("attr") == binding.geo_attr) & (F.col("kind") == C.GEO))
     if query.bbox is not None:
         rows = rows.where(spatial.in_box(query.bbox))
     return rows.select("entity", "fact_id", "v_lat_e7", "v_lon_e7").join(per.select(*kept), F.col("entity") == F.col("e")).drop("e")
@@ -96,7 +114,7 @@ def _place(query: Query, place: tuple[float, float] | None) -> tuple[float, floa
     if query.within.lat is not None:
         return query.within.lat, query.within.lon
     if place is None:
-        raise PlanError(f"unresolved place {':'.join(query.within.place)}")
+        raise PlanError(f"no gazetteer entry resolves the place {':'.join(query.within.place)}")
     return place
 
 

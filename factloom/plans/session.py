@@ -59,6 +59,7 @@ class Session:
         self.policy = Policy()
         self.bindings: dict[str, Binding] = {}
         self.chunks = cut_lineage(store.chunk_stats(self.stored))
+        self.cells = cut_lineage(store.key_cells(self.stored))
         self.known = frozenset(r[0] for r in store.attributes(self.stored).collect())
         last = self.txns.agg(F.coalesce(F.max("txn_id"), F.lit(0)).alias("t"), F.max("wall_clock_unix").alias("w")).first()
         self.current_txn, self.last_wall = last["t"], last["w"]
@@ -85,6 +86,8 @@ class Session:
             bounds = [F.min("min_valid_from"), F.max("max_valid_to"), F.min("min_sys_from"), F.max("max_sys_to"), F.sum("rows")]
             names = ["min_valid_from", "max_valid_to", "min_sys_from", "max_sys_to", "rows"]
             self.chunks = cut_lineage(both.agg(*[b.alias(n) for b, n in zip(bounds, names, strict=True)]))
+            cells = self.cells.unionByName(store.key_cells(part)).groupBy("attr", "cell").agg(F.sum("rows").alias("rows"))
+            self.cells = cut_lineage(cells)
             self.known |= {r[0] for r in store.attributes(part).collect()}
         added = self.spark.createDataFrame([(txn, wall, count, self.next_fact)], TXN_SCHEMA)
         self.txns = cut_lineage(self.txns.unionByName(added))
@@ -127,22 +130,23 @@ class Session:
         query = parsed.query
         binding = self.bindings.get(query.source)
         if binding is None:
-            known = ", ".join(sorted(self.bindings)) or "none"
-            return Result(error=Problem(f"unknown source `{query.source}`; known: {known}", *query.source_span))
+            known = ", ".join(sorted(self.bindings)) or "none at all"
+            return Result(error=Problem(f"no source is bound to `{query.source}`; bound are {known}", *query.source_span))
         place = (places or {}).get(":".join(query.within.place)) if query.within and query.within.place else None
         try:
             if query.within and query.within.place and place is None:
-                raise PlanError(f"unresolved place {':'.join(query.within.place)}")
+                raise PlanError(f"no gazetteer entry resolves the place {':'.join(query.within.place)}")
             valid_at, sys_at = planner.resolve_times(query, self.txns, self.current_txn, now, override)
-            plan = planner.plan(query, binding, self.facts, self.chunks, self.known, valid_at, sys_at, place)
+            plan = planner.plan(query, binding, self.cells, self.chunks, self.known, valid_at, sys_at, place)
         except PlanError as problem:
             return Result(error=Problem(str(problem), 0, len(text.encode())))
         decision = self.policy.check(self._request(query, binding, plan))
         if not decision.allowed:
             self.record_audit(text, decision, 0, now)
             return Result(decision=decision, plan=plan)
-        rows = compiler.points(compiler.entities(self.facts, query, binding, valid_at, sys_at, now, place), query)
-        result = Result(rows=rows.limit(MAX_POINTS), decision=decision, plan=plan)
+        rows = compiler.points(compiler.entities(self.facts, query, binding, valid_at, sys_at, now, place, plan.by_space), query)
+        # whether rows were cut is known once they have been counted
+        result = Result(rows=rows.limit(MAX_POINTS) if execute else rows, decision=decision, plan=plan)
         if execute:
             self._run(result, rows)
         if record:

@@ -16,6 +16,11 @@ from factloom.operators import store
 from factloom.runtime import ensure_checkpoint_dir
 
 BUCKET_SECONDS = 60
+#: Values of ``seq`` whose running maximum one task takes.
+CLAMP_RANGE = 65_536
+#: Files of facts after which an ingestor merges them.
+COMPACT_FILES = 64
+IDENTITY_SCHEMA = "source int, entity long, attr string, valid_from int, valid_to int, stamp long, cycle long"
 IDENTITY = ("source", "entity", "attr", "valid_from", "valid_to", "stamp")
 
 
@@ -57,11 +62,16 @@ def fresh(records: DataFrame, committed: DataFrame) -> DataFrame:
 def clamp(walls: DataFrame, last_wall: int | None = None) -> DataFrame:
     """``walls(seq, wall_clock_unix)`` with ``clamped_wall`` that never runs backwards, and whether it was moved.
 
-    A row is a batch, so this is a small table; the running maximum is its only sort.
+    The running maximum is taken within ranges of ``seq`` and over these ranges, so no task
+    sees all rows.
     """
     floor = F.lit(last_wall if last_wall is not None else -(1 << 62))
-    running = F.max("wall_clock_unix").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    out = walls.withColumn("clamped_wall", F.greatest(running, floor))
+    ranged = walls.withColumn("__range", F.floor(F.col("seq") / CLAMP_RANGE))
+    most = ranged.groupBy(F.col("__range").alias("__r")).agg(F.max("wall_clock_unix").alias("__most"))
+    before = F.max("__most").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max("wall_clock_unix").over(Window.partitionBy("__range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    out = ranged.withColumn("__inside", inside).join(most.select("__r", before.alias("__before")), F.col("__range") == F.col("__r"))
+    out = out.withColumn("clamped_wall", F.greatest("__inside", "__before", floor)).drop("__range", "__r", "__inside", "__before")
     return out.withColumn("was_clamped", F.col("clamped_wall") > F.col("wall_clock_unix"))
 
 
@@ -91,13 +101,52 @@ class Ingestor:
     @property
     def facts(self) -> DataFrame:
         cycles = self.txns.select("cycle").distinct()
-        return self._read("facts", FACT_SCHEMA + ", cycle long").join(F.broadcast(cycles), "cycle", "left_semi").drop("cycle")
+        return self._read(self._current("facts"), FACT_SCHEMA + ", cycle long").join(cycles, "cycle", "left_semi").drop("cycle")
 
     @property
     def identities(self) -> DataFrame:
         cycles = self.txns.select("cycle").distinct()
-        schema = "source int, entity long, attr string, valid_from int, valid_to int, stamp long, cycle long"
-        return self._read("identities", schema).join(F.broadcast(cycles), "cycle", "left_semi")
+        schema = IDENTITY_SCHEMA
+        return self._read(self._current("identities"), schema).join(cycles, "cycle", "left_semi")
+
+    def _generations(self) -> list[int]:
+        """Numbers of the merged copies that are complete; the last holds all cycles before it."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/generations")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(s.getPath().getName()) for s in system.listStatus(path)) if system.exists(path) else []
+
+    def _current(self, name: str) -> str:
+        done = self._generations()
+        return f"{name}-{done[-1]}" if done else name
+
+    def compact(self) -> int:
+        """Merge the cycles' small files into tables in system order; returns the number of the copy.
+
+        The copy is written beside what is read and named last, so a failed try changes nothing
+        and readers see the one or the other; later cycles append to the copy. Copies before
+        the one that it replaces are removed, so that reads that have begun can end.
+        """
+        done = self._generations()
+        number = (done[-1] if done else 0) + 1
+        for name, schema, keys in (("facts", FACT_SCHEMA + ", cycle long", ("sys_from", "fact_id")), ("identities", IDENTITY_SCHEMA, ("entity", "attr"))):
+            cycles = self.txns.select("cycle").distinct()
+            rows = self._read(self._current(name), schema).join(cycles, "cycle", "left_semi")
+            rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{self.folder}/{name}-{number}")
+        jvm = self.spark._jvm
+        conf = self.spark._jsc.hadoopConfiguration()
+        mark = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/generations/{number}")
+        system = mark.getFileSystem(conf)
+        system.mkdirs(mark)
+        for name in ("facts", "identities"):
+            old = [name] if len(done) == 1 else [f"{name}-{n}" for n in done[:-1]]
+            for path in old if done else []:
+                system.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}"), True)
+        return number
+
+    def files(self) -> int:
+        """Files of facts that a reader opens now."""
+        return len(self._read(self._current("facts"), FACT_SCHEMA + ", cycle long").inputFiles())
 
     def cycle(self, records: DataFrame, cycle_id: int) -> dict[str, int]:
         """Commit one cycle; returns counts of transactions, facts, duplicates and clamped batches."""
@@ -119,10 +168,12 @@ class Ingestor:
         placed = new.join(F.broadcast(made.select(F.col("wall_clock_unix").alias("b"), "txn_id", "first_fact")), F.col("bucket") == F.col("b"))
         placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("txn_id").orderBy("seq")) - 1)
         facts = store.as_facts(placed, F.col("txn_id"), F.col("first_fact") + F.col("place"))
-        facts.withColumn("cycle", F.lit(cycle_id).cast("long")).sortWithinPartitions("fact_id").write.mode("append").parquet(f"{self.folder}/facts")
-        new.select(*IDENTITY).withColumn("cycle", F.lit(cycle_id).cast("long")).write.mode("append").parquet(f"{self.folder}/identities")
+        facts.withColumn("cycle", F.lit(cycle_id).cast("long")).sortWithinPartitions("fact_id").write.mode("append").parquet(f"{self.folder}/{self._current('facts')}")
+        new.select(*IDENTITY).withColumn("cycle", F.lit(cycle_id).cast("long")).write.mode("append").parquet(f"{self.folder}/{self._current('identities')}")
         # the list of transactions is written last: it makes the cycle visible
         made.select("txn_id", F.col("clamped_wall").alias("wall_clock_unix"), F.col("fact_count").cast("long"), F.col("first_fact").cast("long"), F.lit(cycle_id).cast("long").alias("cycle")).coalesce(1).write.mode("append").parquet(f"{self.folder}/txns")
+        if self.files() > COMPACT_FILES:
+            self.compact()
         return {"committed": counts["txns"], "facts": counts["facts"], "duplicates": total - counts["facts"], "clamped": counts["clamped"]}
 
     def follow(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None):

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import fixtures
 from factloom.functions import columns as C
 from factloom.functions import scalars as S
-from factloom.operators import store
+from factloom.operators import spatial, store
+from factloom.plans import compiler
+from factloom.plans.language import parse
 from factloom.plans.planner import misestimate
 from factloom.plans.policy import Policy, Request, Sensitivity
 from factloom.plans.session import Session
@@ -62,7 +66,7 @@ def test_queries(quakes):
 
 
 def test_problems(quakes):
-    for text, part in (("volcanoes", "known"), ("quakes order by nothing", "unknown field"), ("quakes within 5km of port:X", "unresolved place"), ("quakes where", "field name")):
+    for text, part in (("volcanoes", "no source is bound"), ("quakes order by nothing", "no fact has"), ("quakes within 5km of port:X", "no gazetteer entry"), ("quakes where", "name of an attribute")):
         found = quakes.run_query(text, NOW)
         assert not found.ok and part in found.error.message
 
@@ -76,6 +80,63 @@ def test_explain(quakes):
     assert misestimate(1000, 10)[1] and not misestimate(30, 10)[1] and misestimate(11, 0)[1]
 
 
+@pytest.mark.parametrize("text", ["quakes in bbox(-30, 10, 20.5, 60)", "quakes within 900km of (10, 179)", "quakes within 700km of (89, 0)", "quakes where magnitude > 30 within 3000km of (-20, 5)", "quakes in bbox(20, 0, 10, 5)"])
+def test_space_first_gives_the_same_rows_and_reaches_the_scan(spark, tmp_path_factory, text):
+    folder = tmp_path_factory.getbasetemp() / "by-space"
+    if not folder.exists():
+        store.write_facts(fixtures.facts(spark, "/root/testdata/sf0.01"), str(folder), order="space", partitions=8)
+    facts, query, binding = spark.read.parquet(str(folder)), parse(text).query, compiler.Binding("position", "magnitude")
+    first, last = (compiler.entities(facts, query, binding, 760_000_000, 5000, 0, by_space=b) for b in (True, False))
+    columns = ["entity", "fact_id", "scalar_value", "entity_first"]
+    assert Counter(map(tuple, first.select(columns).collect())) == Counter(map(tuple, last.select(columns).collect()))
+    if query.bbox is None or query.bbox[0] <= query.bbox[2]:
+        pushed = [line for line in told(first) if line.startswith("PushedFilters")]
+        assert any("morton" in line and "v_lat_e7" in line for line in pushed) and not any("morton" in line for line in told(last))
+
+
+def told(df):
+    """The lines of a plan with all details."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode).splitlines()
+
+
+def test_the_plan_that_is_told_is_run(spark):
+    session = Session(spark, fixtures.facts(spark, "/root/testdata/sf0.01"), fixtures.txns(spark, "/root/testdata/sf0.01"))
+    session.register_source("quakes", "position", "magnitude")
+    small = session.run_query("quakes within 300km of (10, 15)", 760_000_000 + C.EPOCH_2000, (760_000_000, 5000), record=False, execute=False)
+    whole = session.run_query("quakes where magnitude > 3", 760_000_000 + C.EPOCH_2000, (760_000_000, 5000), record=False, execute=False)
+    assert small.plan.by_space and not whole.plan.by_space
+    leaf = small.plan.nodes()[-1]
+    assert leaf.op == "GeoRangeScan" and any("LeftSemi" in line for line in told(small.rows)) and not any("LeftSemi" in line for line in told(whole.rows))
+    held = spatial.radius_filter(session.facts.where("attr = 'position'"), 10.0, 15.0, 300_000.0).count()
+    assert held <= leaf.est_rows <= session.facts.count()
+
+
+def test_layouts_bound_their_leading_column(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    facts = fixtures.facts(spark, "/root/testdata/sf0.01")
+    for order, (column, _) in store.ORDERS.items():
+        store.write_facts(facts, f"{tmp_path}/{order}", order=order, partitions=6)
+        bounds = []
+        for file in (tmp_path / order).glob("*.parquet"):
+            held = pq.ParquetFile(file)
+            index = held.schema_arrow.names.index(column)
+            stats = [held.metadata.row_group(i).column(index).statistics for i in range(held.num_row_groups)]
+            bounds += [(s.min, s.max) for s in stats if s.has_min_max]
+        bounds.sort()
+        assert len(bounds) > 1 and all(b <= c for (_, b), (c, _) in zip(bounds, bounds[1:], strict=False))
+    by_entity = spark.read.parquet(f"{tmp_path}/entity")
+    assert "EqualTo(entity,7)" in store.history(by_entity, 7)._jdf.queryExecution().executedPlan().toString()
+    assert store.history(by_entity, 7).collect() == store.history(facts, 7).collect()
+
+
+def test_nearest_by_growing_circles(spark):
+    geo = fixtures.facts(spark, "/root/testdata/sf0.01").where("attr = 'position'").cache()
+    for lat, lon, k in ((10.0, 15.0, 10), (89.9, 0.0, 3), (0.0, 179.9, 7), (0.0, 0.0, 20_000)):
+        assert spatial.nearest(geo, lat, lon, k, reach_m=50_000.0).collect() == spatial.nearest(geo, lat, lon, k).collect()
+
+
 def test_revisions_and_system_time(spark):
     session = Session(spark)
     session.register_source("quakes", "position", "magnitude")
@@ -224,6 +285,28 @@ def test_cycles(spark, tmp_path):
     assert [(r["fact_id"], r["entity"], r["sys_from"], r["v_f64"]) for r in facts] == [(0, 1, 1, 1.0), (1, 2, 2, 1.0), (2, 3, 2, 1.0), (3, 1, 3, 3.0), (4, 5, 4, 3.0)]
 
 
+def test_compaction_changes_no_row(spark, tmp_path, monkeypatch):
+    made = ingest.Ingestor(spark, f"{tmp_path}/store")
+    cycle = lambda k: spark.createDataFrame([(0, i, "m", C.F64, float(k), k, 99, 6000 + 60 * k, i) for i in range(5)], FEED)
+    for k in range(3):
+        made.cycle(cycle(k), k)
+    before, files = made.facts.orderBy("fact_id").collect(), made.files()
+    assert made.compact() == 1 and made.files() < files and made.facts.orderBy("fact_id").collect() == before
+    assert made.cycle(cycle(1), 9)["duplicates"] == 5 and made.cycle(cycle(3), 3)["facts"] == 5
+    assert made.compact() == 2 and made.compact() == 3 and made.facts.count() == 20 and made.identities.count() == 20
+    assert not (tmp_path / "store" / "facts").exists() and (tmp_path / "store" / "facts-2").exists()
+    monkeypatch.setattr(ingest, "COMPACT_FILES", 0)
+    made.cycle(cycle(4), 4)
+    assert made._generations()[-1] == 4 and made.facts.count() == 25
+
+
+def test_clamping_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "CLAMP_RANGE", 7)
+    walls = [(i * 3, (i * 37) % 101) for i in range(120)]
+    found = {r["seq"]: r["clamped_wall"] for r in ingest.clamp(spark.createDataFrame(walls, "seq long, wall_clock_unix long"), 5).collect()}
+    assert found == {s: max(5, *(w for t, w in walls if t <= s)) for s, _ in walls}
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(0, i % 5, "m", C.F64, float(i), i // 10, 99, 6000 + 60 * i, i) for i in range(40)] * 2
     frame = spark.createDataFrame(rows, FEED)
