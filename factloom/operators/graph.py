@@ -10,6 +10,12 @@ from factloom.operators.store import dense_ids
 from factloom.runtime import cut_lineage
 
 
+#: Labels are broadcast up to so many nodes, and joined by shuffle beyond.
+BROADCAST_LABELS = 1_000_000
+#: Rounds of a path search after which what has been seen is written out as one table.
+MERGE_ROUNDS = 16
+
+
 def build(edges: DataFrame, nodes: int) -> DataFrame:
     """Both directions of each edge between known nodes; multi-edges stay, a self-loop has two slots."""
     fine = edges.where(F.col("src").between(0, nodes - 1) & F.col("dst").between(0, nodes - 1))
@@ -64,6 +70,8 @@ def shortest_path(graph: DataFrame, a: int, b: int) -> DataFrame:
         if not sizes[k]:
             return spark.createDataFrame([], schema)
         sides[k] = sides[k].unionByName(fronts[k])
+        if depths[k] % MERGE_ROUNDS == 0:
+            sides[k] = cut_lineage(sides[k])
         met = fronts[k].join(sides[1 - k].select("node"), "node", "left_semi").agg(F.min("node")).first()[0]
         if met is not None:
             halves = [_trace(sides[i], met) for i in range(2)]
@@ -81,16 +89,23 @@ def _trace(side: DataFrame, node: int | None) -> list[int]:
 
 
 def label_propagation(graph: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """``(node, label)``: each round every node takes its neighbours' most frequent label, the least of equals."""
+    """``(node, label)``: each round every node takes its neighbours' most frequent label, the least of equals.
+
+    Edges are dealt by their source once and kept, so votes are counted where they lie; labels
+    travel, by broadcast while there are few (their number is that of the nodes).
+    """
     labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    near = graph.select("src", "dst").repartition("src").persist()
+    few = labels.count() <= BROADCAST_LABELS
     for _ in range(rounds):
-        votes = graph.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.count("*").alias("n"))
+        votes = near.join(F.broadcast(labels) if few else labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("label")).alias("back"))).alias("top"))
         best = best.select(F.col("src").alias("node"), (-F.col("top.back")).alias("next"))
         moved = cut_lineage(labels.join(best, "node", "left").select("node", F.coalesce("next", "label").alias("label"), F.coalesce(F.col("next") != F.col("label"), F.lit(False)).alias("moved")))
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
             break
+    near.unpersist()
     return labels
 
 

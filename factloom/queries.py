@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import fixtures
@@ -15,9 +16,9 @@ from factloom.operators import graph, resolution, spatial, store
 from factloom.plans import compiler
 from factloom.plans.compiler import Binding
 from factloom.plans.language import parse
-from factloom.plans.policy import Policy, Request, Sensitivity
+from factloom.plans.policy import PURPOSES, Policy, Request, Sensitivity
 from factloom.plans.session import AUDIT_ATTRS, Session, audit_log
-from factloom.runtime import cut_lineage, table
+from factloom.runtime import cut_lineage, ensure_checkpoint_dir, table
 from factloom.sources import feeds, registry
 from factloom.streaming import ingest
 
@@ -298,7 +299,12 @@ def point_projection(spark, sf_dir):
     return rows.select("fact_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("lat", "lon", "scalar")])
 
 
-@query()
+@query(
+    with_facts(
+        f""", near AS (SELECT entity FROM facts WHERE {VISIBLE} AND attr = 'position' AND {DISTANCE} <= {RADIUS} ORDER BY {DISTANCE}, fact_id LIMIT 1)
+        SELECT fact_id, entity, attr, v_f64, v_str, {VISIBLE} AS is_now FROM facts WHERE entity = (SELECT entity FROM near)"""
+    )
+)
 def inspect_entity(spark, sf_dir):
     """The entity nearest to a point, with its attributes now and its history."""
     return spatial.inspect(stored(spark, sf_dir), *CENTRE, RADIUS, T, S, ("position",)).select("fact_id", "entity", "attr", "v_f64", "v_str", "is_now")
@@ -411,14 +417,79 @@ def er_clusters(spark, sf_dir):
     return resolution.clusters(recs, scored.where("accepted"))
 
 
-@query()
+def winkler_sql(a: str, b: str) -> str:
+    prefix = " + ".join(f"(length({a}) >= {k} AND length({b}) >= {k} AND left({a}, {k}) = left({b}, {k}))::INT" for k in range(1, 5))
+    return f"(jaro_similarity({a}, {b}) + ({prefix}) * 0.1 * (1 - jaro_similarity({a}, {b})))"
+
+
+NAME_LISTS = (("n_name", "nation"), ("r_name", "region"), ("p_type", "part"))
+
+
+@query(
+    f"""WITH names AS ({" UNION ".join(f"SELECT {c} AS n FROM {t}" for c, t in NAME_LISTS)}), p AS (SELECT x.n AS a, y.n AS b FROM names x JOIN names y ON left(x.n, 1) = left(y.n, 1))
+    SELECT a, b, round({winkler_sql("a", "b")}, 6) AS similarity FROM p"""
+)
 def jaro_winkler(spark, sf_dir):
-    """Names of nations against those of the same first letter."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("a"))
+    """Names of nations, regions and part types against those of the same first letter."""
+    names = [table(spark, sf_dir, t).select(F.col(c).alias("a")) for c, t in NAME_LISTS]
+    names = names[0].union(names[1]).union(names[2]).distinct()
     pairs = names.join(names.select(F.col("a").alias("b")), F.substring("a", 1, 1) == F.substring("b", 1, 1))
     return pairs.select("a", "b", F.round(jaro_winkler_column("a", "b"), 6).alias("similarity"))
 
 
+LABELS = ("NORTH RIDGE", "NORTH RIDGES", "SOUTH BAY", None)
+LABEL_SQL = "CASE {0} % 4 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(LABELS) if n) + " END"
+
+
+@query(
+    f"""{SCORES_SQL}, named AS (SELECT a, b, score, {LABEL_SQL.format("a")} AS x, {LABEL_SQL.format("b")} AS y FROM scored),
+    w AS (SELECT *, {winkler_sql("x", "y")} AS j FROM named)
+    SELECT a, b, round(score + CASE WHEN x IS NULL OR y IS NULL THEN 0 WHEN j >= 0.75 THEN j * 0.7 ELSE -0.1 END, 6) AS score FROM w"""
+)
+def er_names(spark, sf_dir):
+    """Scores with the comparator of names."""
+    named = F.get(F.array(*[F.lit(n) for n in LABELS]), (F.col("id") % 4).cast("int"))
+    recs = er_records(spark, sf_dir).withColumn("label", named)
+    return resolution.score(resolution.candidate_pairs(recs), recs, names=True).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query(f"{SCORES_SQL} SELECT a, b FROM scored WHERE score >= 5 ORDER BY a, b OFFSET 1")
+def er_unmerge(spark, sf_dir):
+    """Accepted pairs after the first of them has been taken back."""
+    recs = er_records(spark, sf_dir)
+    scored = resolution.score(resolution.candidate_pairs(recs), recs)
+    return resolution.unmerge(scored.where("accepted"), 0).select("a", "b")
+
+
+@query(
+    f"""{SCORES_SQL}, links AS (SELECT a AS x, b AS y FROM scored WHERE score >= 5 UNION ALL SELECT b, a FROM scored WHERE score >= 5),
+    reach AS (SELECT id AS node, id AS seen FROM rec UNION SELECT reach.node, links.y FROM reach JOIN links ON links.x = reach.seen),
+    groups AS (SELECT root, count(*) AS n FROM (SELECT node, min(seen) AS root FROM reach GROUP BY node) GROUP BY root),
+    sizes AS (SELECT count(*) AS n FROM keys GROUP BY family, key)
+    SELECT (SELECT count(*) FROM sizes) AS blocks, (SELECT count(*) FROM sizes WHERE n > 200) AS blocks_skipped, (SELECT count(*) FROM scored) AS pairs_compared,
+           (SELECT count(*) FROM scored WHERE score >= 5) AS pairs_accepted, (SELECT sum(n) FROM groups)::BIGINT AS records, (SELECT count(*) FROM groups) AS clusters,
+           (SELECT coalesce(sum(n), 0) FROM groups WHERE n > 1)::BIGINT AS merged_records"""
+)
+def er_stats(spark, sf_dir):
+    recs = er_records(spark, sf_dir)
+    scored = cut_lineage(resolution.score(resolution.candidate_pairs(recs), recs))
+    return resolution.stats(recs, scored, resolution.clusters(recs, scored.where("accepted")))
+
+
+@query(
+    with_facts(
+        """, v AS (SELECT * FROM facts WHERE sys_to = 4294967295 AND valid_to = 2147483647)
+        SELECT entity AS id, arg_min(source, fact_id) FILTER (WHERE attr = 'position')::INT AS source, arg_min(v_lat_e7, fact_id) FILTER (WHERE attr = 'position') / 1e7 AS lat,
+               arg_min(v_lon_e7, fact_id) FILTER (WHERE attr = 'position') / 1e7 AS lon, (arg_min(valid_from, fact_id) FILTER (WHERE attr = 'position'))::INT AS time,
+               arg_max(v_f64, fact_id) FILTER (WHERE attr = 'magnitude' AND v_f64 IS NOT NULL) AS magnitude
+        FROM v GROUP BY entity HAVING count(*) FILTER (WHERE attr = 'position') > 0"""
+    )
+)
+def er_records_of_facts(spark, sf_dir):
+    """The records that a layer's facts give."""
+    return resolution.records(facts(spark, sf_dir), "position", "magnitude").select("id", "source", "lat", "lon", "time", "magnitude")
+
+
 # --- graph
 
 EDGES_SQL = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), g AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e)"
@@ -475,9 +546,18 @@ def supersession_root(spark, sf_dir):
     return graph.chain_roots(parent_links(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM r JOIN g ON src = node WHERE hops < 6)
+    SELECT min(hops) AS hops, true AS valid FROM r WHERE node = 2"""
+)
 def shortest_path(spark, sf_dir):
-    return graph.shortest_path(trade_graph(spark, sf_dir), 1, 2)
+    """The length of a shortest path, and whether each of its steps is an edge and its ends are right."""
+    g = cut_lineage(trade_graph(spark, sf_dir))
+    path = cut_lineage(graph.shortest_path(g, 1, 2))
+    steps = path.alias("x").join(path.alias("y"), F.col("y.step") == F.col("x.step") + 1).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    edges = steps.join(g.select("src", "dst").distinct(), (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left_semi").count()
+    ends = (F.min_by("node", "step") == 1) & (F.max_by("node", "step") == 2)
+    return path.agg(F.max("step").alias("hops"), (ends & (F.max("step") == edges)).alias("valid"))
 
 
 # --- policy, audit, sources
@@ -504,26 +584,143 @@ def audit_pivot(spark, sf_dir):
     return audit_log(rows)
 
 
-@query()
+CASES = {"wide": Request("a", 100.0), "few": Request("a", 3.0), "none": Request("a", 0.0), "identity": Request("a", 100.0, True), "tight": Request("a", 100.0, False, 400.0)}
+
+
+@query(
+    """WITH m AS (SELECT * FROM (VALUES ('PUBLIC'), ('PRECISE'), ('PERSON_LINKED')) s(sensitivity) CROSS JOIN (VALUES ('demonstration'), ('maritime-safety'), ('disaster-response')) p(purpose)
+                  CROSS JOIN (VALUES ('wide', ''), ('few', 'about 3 entities are expected, fewer than 5'), ('none', ''), ('identity', 'an identifier is compared for equality'), ('tight', 'the circle has a radius of 400 m, under 500')) c("case", reason)),
+    d AS (SELECT *, CASE WHEN sensitivity = 'PERSON_LINKED' THEN 'R0-person-linked' WHEN sensitivity = 'PRECISE' AND purpose = 'demonstration' AND reason <> '' THEN 'R1-individual-narrowing' ELSE 'allowed' END AS rule FROM m)
+    SELECT sensitivity, purpose, "case", rule = 'allowed' AS allowed, rule, CASE rule WHEN 'allowed' THEN '' WHEN 'R0-person-linked' THEN 'it is declared person-linked' ELSE reason END AS offending FROM d"""
+)
 def policy_matrix(spark, sf_dir):
     """Decisions for each sensitivity, purpose and kind of narrowing."""
     rows = []
     for level in Sensitivity:
-        for purpose in ("demonstration", "maritime-safety", "disaster-response"):
-            for name, request in (("wide", Request("a", 100.0)), ("few", Request("a", 3.0)), ("none", Request("a", 0.0)), ("identity", Request("a", 100.0, True)), ("tight", Request("a", 100.0, False, 400.0))):
-                policy = Policy(purpose, {"a": level})
-                found = policy.check(request)
+        for purpose in PURPOSES:
+            for name, request in CASES.items():
+                found = Policy(purpose, {"a": level}).check(request)
                 rows.append((level.name, purpose, name, found.allowed, found.rule, found.offending))
     return spark.createDataFrame(rows, "sensitivity string, purpose string, case string, allowed boolean, rule string, offending string")
 
 
-@query()
+EXPLAINED = (10.0, 15.0, 900_000.0)
+RANGES = spatial.merge_ranges([r for box in spatial.radius_boxes(*EXPLAINED) for r in spatial.box_ranges(box)])
+IN_CELLS = " OR ".join(f"morton >> {store.CELL_SHIFT} BETWEEN {low >> store.CELL_SHIFT} AND {high >> store.CELL_SHIFT}" for low, high in RANGES)
+
+
+@query(
+    with_facts(
+        f""", {morton_sql("(SELECT * FROM facts WHERE attr = 'position')", "fact_id")},
+        z AS (SELECT count(*) AS n, min(sys_from) <= {S} AND max(sys_to) > {S} AND min(valid_from) <= {T} AND max(valid_to) > {T} AS fits FROM facts GROUP BY fact_id >> 13),
+        c AS (SELECT sum(n)::DOUBLE AS total, count(*) AS chunks, count(*) FILTER (WHERE NOT fits) AS skipped FROM z),
+        g AS (SELECT count(*)::DOUBLE AS held FROM m WHERE {IN_CELLS}),
+        p AS (SELECT 'SeqScan' AS op, total AS cost, 0 AS place FROM c UNION ALL SELECT 'ZoneMapScan', total * (1 - skipped / chunks) + chunks * 0.05, 1 FROM c UNION ALL SELECT 'GeoRangeScan', held + {len(RANGES)} * 30.0, 2 FROM g)
+        SELECT op, round(cost, 3) AS est_cost, row_number() OVER (ORDER BY cost, place) = 1 AS chosen FROM p"""
+    )
+)
 def explain(spark, sf_dir):
-    """The plan of a query, as a document."""
+    """The access paths of a query with their costs, and the one that is run."""
     session = Session(spark, stored(spark, sf_dir), txns(spark, sf_dir))
     registry.configure(session)
-    found = session.run_query(f"{FLAGSHIP.replace('limit 20', '')} within 900km of (10, 15) limit 20", T + C.EPOCH_2000, (T, S), record=False, execute=False)
-    return spark.createDataFrame([(found.plan.explain().replace(str(found.plan.plan_us), "0"),)], "plan string")
+    text = f"quakes where magnitude > 4.5 within {EXPLAINED[2] / 1000:.0f}km of ({EXPLAINED[0]}, {EXPLAINED[1]}) limit 20"
+    plan = session.run_query(text, T + C.EPOCH_2000, (T, S), record=False, execute=False).plan
+    leaf = plan.nodes()[-1]
+    rows = [(leaf.op, float(leaf.est_cost), True)] + [(r["op"], float(r["estCost"]), False) for r in plan.rejected]
+    return spark.createDataFrame(rows, "op string, est_cost double, chosen boolean").withColumn("est_cost", F.round("est_cost", 3))
+
+
+@query(points_sql("mag > 50 AND lab <> 'view'", order="mag IS NULL, mag, first_fact, fact_id", limit="LIMIT 40"))
+def session_query(spark, sf_dir):
+    """A query through the front end: sources, plan, policy, compiled and run."""
+    session = Session(spark, cut_lineage(facts(spark, sf_dir, "event_id")), txns(spark, sf_dir))
+    registry.configure(session)
+    found = session.run_query("quakes where magnitude > 50 and label != view order by magnitude limit 40", T + C.EPOCH_2000, (T, S), record=False)
+    return found.rows.select("entity", "fact_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("lat", "lon", "scalar")])
+
+
+@query(
+    f"""WITH {RECORDS_SQL.strip()}, d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source, entity, attr, bucket ORDER BY seq) = 1),
+    t AS (SELECT d.*, dense_rank() OVER (ORDER BY bucket) AS txn, value FROM d JOIN events ON event_id = seq % 1000000000)
+    SELECT row_number() OVER (ORDER BY txn, seq) - 1 AS fact_id, entity, attr, (bucket - 946684800)::INT AS valid_from, txn AS sys_from, value AS v_f64, source FROM t"""
+)
+def ingest_cycle(spark, sf_dir):
+    """A cycle of records committed to a store, twice over: the second adds nothing."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}"
+    made = ingest.Ingestor(spark, folder, seconds=3600)
+    rows = cut_lineage(feed_records(spark, sf_dir))
+    made.cycle(rows, 0)
+    made.cycle(rows, 1)
+    made.compact()
+    return made.facts.select("fact_id", "entity", "attr", "valid_from", "sys_from", "v_f64", "source")
+
+
+# --- feeds: payloads made of events, fifty to a document
+
+
+FEED_LAT, FEED_LON = "(event_id % 180 - 90 + 0.25)", "(event_id % 360 - 180 + 0.5)"
+FEED_BASE = f"""f AS (SELECT event_id, event_type, value, CAST(floor(epoch(ts)) AS BIGINT) AS u, round({FEED_LAT} * 1e7)::INT AS y, round({FEED_LON} * 1e7)::INT AS x FROM events)"""
+FEED_COLUMNS = ("key", "attr", "v_f64", "v_str", "v_lat_e7", "v_lon_e7", "valid_from", "system_unix")
+
+
+def feed_sql(key: str, system: str, position: str, numbers: dict[str, tuple[str, str]], texts: dict[str, tuple[str, str]]) -> str:
+    """Rows of a feed: a position, and each number and text under its condition."""
+    common = f"u - 946684800 AS valid_from, {system} AS system_unix FROM f"
+    parts = [f"SELECT {key} AS key, '{position}' AS attr, NULL::DOUBLE AS v_f64, NULL AS v_str, y AS v_lat_e7, x AS v_lon_e7, {common}"]
+    parts += [f"SELECT {key}, '{a}', ({v})::DOUBLE, NULL, NULL, NULL, {common} WHERE {w}" for a, (v, w) in numbers.items()]
+    parts += [f"SELECT {key}, '{a}', NULL, {v}, NULL, NULL, {common} WHERE {w}" for a, (v, w) in texts.items()]
+    return f"WITH {FEED_BASE} " + " UNION ALL ".join(parts)
+
+
+def payloads(spark: SparkSession, sf_dir: str, feature: Column) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("lat", F.expr(FEED_LAT).cast("double")).withColumn("lon", F.expr(FEED_LON).cast("double"))
+    made = rows.groupBy(F.floor(F.col("event_id") / 50)).agg(F.collect_list(feature).alias("features"))
+    return made.select(F.to_json(F.struct("features")).alias("payload"), F.lit(0).cast("long").alias("fetched_unix"))
+
+
+def _iso(unix: str) -> Column:
+    return F.date_format(F.timestamp_seconds(F.col(unix)), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+@query(feed_sql("'us' || event_id", "CASE WHEN event_id % 2 = 0 THEN u + 60 ELSE u END", "position", {"magnitude": ("value", "value IS NOT NULL"), "depth": ("CASE WHEN event_id % 5 > 0 THEN event_id % 700 ELSE 0 END", "true")}, {"label": ("event_type", "true")}))
+def feed_usgs(spark, sf_dir):
+    depth = F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 700).cast("double"))
+    told = F.struct(F.col("value").alias("mag"), (F.col("u") * 1000 + 321).alias("time"), F.when(F.col("event_id") % 2 == 0, (F.col("u") + 60) * 1000).alias("updated"), F.col("event_type").alias("place"))
+    feature = F.struct(F.concat(F.lit("us"), "event_id").alias("id"), told.alias("properties"), F.struct(F.array("lon", "lat", depth).alias("coordinates")).alias("geometry"))
+    return feeds.usgs(payloads(spark, sf_dir, feature)).select(*FEED_COLUMNS)
+
+
+@query(feed_sql("'emsc:' || event_id", "u + 5", "position", {"magnitude": ("value", "value IS NOT NULL"), "depth": ("event_id % 90", "true")}, {"region": ("event_type", "true")}))
+def feed_emsc(spark, sf_dir):
+    lasting = F.concat(F.date_format(F.timestamp_seconds(F.col("u") + 5), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    told = F.struct(F.col("event_id").cast("string").alias("unid"), "lat", "lon", (F.col("event_id") % 90).cast("double").alias("depth"), F.col("value").alias("mag"), _iso("u").alias("time"), lasting.alias("lastupdate"), F.col("event_type").alias("flynn_region"))
+    return feeds.emsc(payloads(spark, sf_dir, F.struct(told.alias("properties")))).select(*FEED_COLUMNS)
+
+
+@query(feed_sql("'mmsi:' || event_id", "u", "vessel_position", {"speed": ("value", "value < 102.3")}, {}))
+def feed_digitraffic(spark, sf_dir):
+    told = F.struct(F.col("value").alias("sog"), F.lit(1.0).alias("cog"), (F.col("u") * 1000).alias("timestampExternal"))
+    feature = F.struct(F.col("event_id").alias("mmsi"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), told.alias("properties"))
+    return feeds.digitraffic(payloads(spark, sf_dir, feature)).select(*FEED_COLUMNS)
+
+
+@query(
+    feed_sql(
+        "'gdacs:EQ:' || event_id || ':'", "u + 7", "alert_position", {"alert_level": ("event_id % 3", "true")},
+        {"alert_label": ("CASE event_id % 4 WHEN 0 THEN 'told (' || event_type || ')' WHEN 1 THEN 'told' ELSE event_type END", "event_id % 4 < 3")},
+    )
+)
+def feed_gdacs(spark, sf_dir):
+    k = F.col("event_id") % 4
+    level = F.get(F.array(F.lit("Green"), F.lit("Orange"), F.lit("Red")), (F.col("event_id") % 3).cast("int"))
+    modified = F.date_format(F.timestamp_seconds(F.col("u") + 7), "yyyy-MM-dd HH:mm:ss")
+    told = F.struct(
+        F.lit("EQ").alias("eventtype"), F.col("event_id").cast("string").alias("eventid"), level.alias("alertlevel"), F.when(k.isin(0, 2), F.col("event_type")).alias("eventname"),
+        F.when(k < 2, F.lit(" told ")).alias("name"), _iso("u").alias("fromdate"), modified.alias("datemodified"),
+    )
+    feature = F.struct(told.alias("properties"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"))
+    return feeds.gdacs(payloads(spark, sf_dir, feature)).select(*FEED_COLUMNS)
 
 
 @query(
