@@ -120,6 +120,13 @@ def prune_counts(chunks: DataFrame, valid_at: int, sys_at: int) -> DataFrame:
     )
 
 
+def scan_stats(facts: DataFrame, chunks: DataFrame, valid_at: int, sys_at: int) -> DataFrame:
+    """One row for a slice: chunks in all and skipped, rows in the chunks that are left, and rows that it holds."""
+    held = slice_at(facts, valid_at, sys_at).agg(F.count("*").alias("rows_matched"))
+    told = prune_counts(chunks, valid_at, sys_at).withColumnRenamed("rows_kept", "rows_scanned")
+    return told.crossJoin(held)  # a row each
+
+
 def resident_bytes(facts: DataFrame) -> int:
     return facts.count() * FACT_BYTES
 

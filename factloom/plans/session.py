@@ -187,6 +187,19 @@ class Session:
     def query_points(self, valid_at: int, sys_at: int, geo_attr: str, scalar_attr: str) -> DataFrame:
         return spatial.query_points(self.facts, valid_at, sys_at, geo_attr, scalar_attr)
 
+    def layers(self, valid_at: int, sys_at: int) -> dict[str, float]:
+        """Points, rows scanned, chunks skipped and in all, and milliseconds, summed over a query of each layer."""
+        out = {"points": 0, "rows_scanned": 0, "chunks_skipped": 0, "chunks_total": 0, "query_ms": 0.0}
+        told = store.prune_counts(self.chunks, valid_at, sys_at).first()
+        for binding in dict.fromkeys(self.bindings.values()):
+            began = time.perf_counter()
+            out["points"] += self.query_points(valid_at, sys_at, binding.geo_attr, binding.scalar_attr).count()
+            out["query_ms"] += (time.perf_counter() - began) * 1000
+            out["rows_scanned"] += told["rows_kept"]
+            out["chunks_skipped"] += told["chunks_skipped"]
+            out["chunks_total"] += told["chunks_total"]
+        return out
+
     def inspect(self, lat: float, lon: float, metres: float, valid_at: int, sys_at: int, geo_attrs: tuple[str, ...] = ()) -> DataFrame:
         return spatial.inspect(self.facts, lat, lon, metres, valid_at, sys_at, geo_attrs)
 

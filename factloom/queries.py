@@ -19,7 +19,7 @@ from factloom.plans.language import parse
 from factloom.plans.policy import PURPOSES, Policy, Request, Sensitivity
 from factloom.plans.session import AUDIT_ATTRS, Session, audit_log
 from factloom.runtime import cut_lineage, ensure_checkpoint_dir, table
-from factloom.sources import feeds, registry
+from factloom.sources import feeds, probes, registry
 from factloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,17 @@ def zone_map_prune(spark, sf_dir):
     return store.prune_counts(store.chunk_stats(facts(spark, sf_dir)), T, S)
 
 
+@query(
+    with_facts(
+        f"""SELECT count(*) AS chunks_total, count(*) FILTER (WHERE NOT fits) AS chunks_skipped, coalesce(sum(n) FILTER (WHERE fits), 0)::BIGINT AS rows_scanned, (SELECT count(*) FROM facts WHERE {VISIBLE}) AS rows_matched FROM (
+        SELECT count(*) AS n, min(sys_from) <= {S} AND max(sys_to) > {S} AND min(valid_from) <= {T} AND max(valid_to) > {T} AS fits FROM facts GROUP BY fact_id >> 13)"""
+    )
+)
+def scan_stats(spark, sf_dir):
+    known = facts(spark, sf_dir)
+    return store.scan_stats(known, store.chunk_stats(known), T, S)
+
+
 @query(with_facts("SELECT txn_id, wall_clock_unix, fact_count FROM txns"))
 def transaction_list(spark, sf_dir):
     return txns(spark, sf_dir).select("txn_id", "wall_clock_unix", "fact_count")
@@ -749,6 +760,40 @@ def ring_centroid(spark, sf_dir):
     return feeds.zone_centroids(rings).select("zone", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+# --- probes
+
+
+@query(
+    """SELECT 'recon:asn:AS' || event_id AS key, 'recon_label' AS attr, NULL::INT AS v_lat_e7,
+              'asn AS' || event_id || ' as: AS' || event_id || '; holder: ' || CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE event_type END || CASE WHEN event_id % 5 = 0 THEN '; block: B' ELSE '' END
+              || '; registered in: ' || CASE event_id % 3 WHEN 0 THEN 'FI' WHEN 1 THEN 'ZZ' ELSE 'not stated by the registry' END AS v_str FROM events
+    UNION ALL SELECT 'recon:asn:AS' || event_id, 'recon_position', 640000000, NULL FROM events WHERE event_id % 3 = 0"""
+)
+def probe_asn(spark, sf_dir):
+    """Answers about autonomous systems as records."""
+    k = F.col("event_id")
+    country = F.get(F.array(F.lit("fi"), F.lit("zz"), F.lit(None).cast("string")), (k % 3).cast("int"))
+    attributes = F.array(F.struct(F.lit("Country").alias("key"), F.lit("none").alias("value")), F.struct(F.lit("country").alias("key"), country.alias("value")))
+    told = F.struct(F.when(k % 4 > 0, F.col("event_type")).alias("holder"), F.struct(F.when(k % 5 == 0, F.lit("B")).alias("name")).alias("block"), attributes.alias("attributes"))
+    asked = events(spark, sf_dir).select(F.concat(F.lit("as"), "event_id").alias("subject"), F.to_json(told).alias("payload"), F.col("u").alias("asked_unix"))
+    countries = spark.createDataFrame([("FI", 64.0, 26.0)], "code string, lat double, lon double")
+    return probes.records(probes.asn(asked, countries)).select("key", "attr", "v_lat_e7", "v_str")
+
+
+@query(
+    """SELECT 'recon:dns:h' || event_id AS key, 'dns h' || event_id || ' ttl: ' || CASE WHEN event_id % 2 = 0 THEN 30 + event_id % 7 ELSE 900 END || 's; '
+              || CASE WHEN event_id % 2 = 0 THEN 'A: ' || event_type || '; MX: m' ELSE 'result: no records' END AS v_str,
+              u - 946684800 + CASE WHEN event_id % 2 = 0 THEN 30 + event_id % 7 ELSE 900 END AS valid_to
+    FROM (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS u FROM events)"""
+)
+def probe_dns(spark, sf_dir):
+    """Name server answers as records; valid for the least time to live."""
+    one = lambda data, ttl: F.struct(F.array(F.struct(data.alias("data"), ttl.alias("TTL"))).alias("Answer"))
+    some = F.struct(one(F.col("event_type"), 30 + F.col("event_id") % 7).alias("A"), one(F.lit("m"), F.lit(400).cast("long")).alias("MX"))
+    asked = events(spark, sf_dir).select(F.concat(F.lit("h"), "event_id").alias("subject"), F.when(F.col("event_id") % 2 == 0, F.to_json(some)).otherwise(F.lit("{}")).alias("payload"), F.col("u").alias("asked_unix"))
+    return probes.records(probes.dns(asked)).select("key", "v_str", "valid_to")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

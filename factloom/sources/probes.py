@@ -67,12 +67,21 @@ def rdap(answers: DataFrame) -> DataFrame:
 
 
 def asn(answers: DataFrame, countries: DataFrame) -> DataFrame:
-    """Placed at the centroid of the first two-letter country of the record (``countries(code, lat, lon)``)."""
-    schema = "holder string, attributes array<struct<key:string,value:string>>"
-    rows = answers.withColumn("p", F.from_json("payload", schema))
-    code = F.get(F.filter("p.attributes", lambda a: (F.lower(a["key"]) == "country") & a["value"].rlike("^[A-Za-z]{2}$")), F.lit(0))["value"]
-    rows = rows.withColumn("code", F.upper(code)).join(F.broadcast(countries), "code", "left")
-    fields = F.array(_field("holder", F.col("p.holder")), _field("country", F.col("code")))
+    """Number, holder, block and registered country of an autonomous system.
+
+    Placed at the centroid of the first two-letter country of the record (``countries(code,
+    lat, lon)``, a table of the caller's), wherever that country's letters are known.
+    """
+    schema = "holder string, resource string, block struct<name:string>, attributes array<struct<key:string,value:string>>"
+    bare = F.regexp_replace(F.trim("subject"), "(?i)^as", "")
+    rows = answers.withColumn("p", F.from_json("payload", schema)).withColumn("bare", bare).withColumn("subject", F.concat(F.lit("AS"), "bare"))
+    code = F.get(F.filter("p.attributes", lambda a: (F.lower(a["key"]) == "country") & F.trim(a["value"]).rlike("^[A-Za-z]{2}$")), F.lit(0))["value"]
+    rows = rows.withColumn("code", F.upper(F.trim(code))).join(F.broadcast(countries), "code", "left")
+    number = F.coalesce(F.when(F.length("p.resource") > 0, F.col("p.resource")), F.col("bare"))
+    holder = F.coalesce(F.when(F.length("p.holder") > 0, F.col("p.holder")), F.lit("unknown"))
+    # Labels of the fields, and what stands for an unknown country.
+    told = (("as", F.concat(F.lit("AS"), number)), ("holder", holder), ("block", F.col("p.block.name")), ("registered in", F.coalesce("code", F.lit("not stated by the registry"))))
+    fields = F.array(*[_field(label, value) for label, value in told])
     return _result(rows, "asn", fields, F.col("asked_unix") + HOUR, F.col("lat"), F.col("lon"))
 
 

@@ -137,6 +137,13 @@ def test_nearest_by_growing_circles(spark):
         assert spatial.nearest(geo, lat, lon, k, reach_m=50_000.0).collect() == spatial.nearest(geo, lat, lon, k).collect()
 
 
+def test_layers_are_summed(quakes):
+    told = quakes.layers(S.store_time(NOW), quakes.current_txn)
+    one = store.prune_counts(quakes.chunks, S.store_time(NOW), quakes.current_txn).first()
+    kinds = len(set(quakes.bindings.values()))
+    assert told["points"] == 12 and told["chunks_total"] == kinds * one["chunks_total"] and told["rows_scanned"] == kinds * one["rows_kept"] and told["query_ms"] > 0
+
+
 def test_revisions_and_system_time(spark):
     session = Session(spark)
     session.register_source("quakes", "position", "magnitude")
