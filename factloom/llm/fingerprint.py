@@ -116,6 +116,9 @@ class Sketches:
         xor = [np.bitwise_xor.reduce(x.reshape(shape), axis=2).ravel() for x in (self.keys, self.check)]
         return Sketches.of(third, self.count.reshape(shape).sum(axis=2).ravel(), *xor)
 
+    def rows(self, which: np.ndarray) -> Sketches:
+        return Sketches.of(self.third, *(x.reshape(-1, 3 * self.third)[which].ravel() for x in (self.count, self.keys, self.check)))
+
     def copy(self) -> Sketches:
         return Sketches.of(self.third, self.count.copy(), self.keys.copy(), self.check.copy())
 
@@ -158,76 +161,112 @@ def _chunks(rows: list[int], third: int) -> Iterator[list[int]]:
         yield rows[at : at + step]
 
 
-def sketch(sets: list[np.ndarray]) -> list[bytes]:
-    """The fingerprint of each set, as bytes."""
-    out: list[bytes] = [b""] * len(sets)
-    todo: dict[int, list[int]] = {}
-    for i, s in enumerate(sets):
-        todo.setdefault(least_third(len(s)), []).append(i)
-    while todo:
-        third = min(todo)
-        for part in _chunks(todo.pop(third), third):
-            made = Sketches([sets[i] for i in part], third)
-            cells = np.zeros(len(made.count), CELL)
-            cells["count"], cells["keys"], cells["check"] = made.count, made.keys, made.check
-            width = 3 * third
-            *_, fine = made.peel()
-            for k, i in enumerate(part):
-                if fine[k]:
-                    out[i] = struct.pack("<IB", len(sets[i]), third.bit_length()) + cells[k * width : (k + 1) * width].tobytes()
-                else:
-                    todo.setdefault(2 * third, []).append(i)
-    return out
+class Prints:
+    """Fingerprints of many sets, tabled by size: a set's sub-table cells and its row among those of that size."""
 
+    def __init__(self) -> None:
+        self.sizes: np.ndarray = np.zeros(0, np.int64)
+        self.third: np.ndarray = np.zeros(0, np.int64)
+        self.row: np.ndarray = np.zeros(0, np.int64)
+        self.tables: dict[int, Sketches] = {}
 
-def _load(prints: list[bytes], third: int) -> Sketches:
-    """Sketches of fingerprints, folded to one size."""
-    parts = []
-    for p in prints:
-        cells = np.frombuffer(p, CELL, offset=5)
-        parts.append(Sketches.of(1 << p[4] - 1, cells["count"].astype(np.int64), cells["keys"].astype(np.uint64), cells["check"].astype(np.uint64)).fold(third))
-    return Sketches.of(third, *(np.concatenate([getattr(x, name) for x in parts]) for name in ("count", "keys", "check")))
-
-
-def recovered(print_: bytes) -> np.ndarray:
-    """The digests of a fingerprint."""
-    _, keys, _, fine = _load([print_], 1 << print_[4] - 1).peel()
-    assert fine.all()
-    return np.sort(keys)
-
-
-def differences(left: list[bytes], right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each two fingerprints the digests that only the left and only the right one has."""
-    none = np.zeros(0, np.uint64)
-    out = [(none, none)] * len(left)
-    todo: dict[int, list[int]] = {}
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        if a != b:
-            todo.setdefault(1 << min(a[4], b[4]) - 1, []).append(i)
-    for third, rows in todo.items():
-        for part in _chunks(rows, third):
-            row, keys, sign, fine = (_load([left[i] for i in part], third) - _load([right[i] for i in part], third)).peel()
-            order = np.lexsort((keys, row))
-            row, keys, sign = row[order], keys[order], sign[order]
-            ends = np.searchsorted(row, np.arange(len(part) + 1))
-            for k, i in enumerate(part):
-                if fine[k]:
-                    own, way = keys[ends[k] : ends[k + 1]], sign[ends[k] : ends[k + 1]]
-                    out[i] = own[way > 0], own[way < 0]
-                else:
-                    a, b = recovered(left[i]), recovered(right[i])
-                    out[i] = np.setdiff1d(a, b), np.setdiff1d(b, a)
-    return out
+    def _table(self, third: int, parts: list[tuple[np.ndarray, Sketches]]) -> None:
+        at = np.concatenate([i for i, _ in parts])
+        self.third[at], self.row[at] = third, np.arange(len(at))
+        self.tables[third] = Sketches.of(third, *(np.concatenate([getattr(x, name) for _, x in parts]) for name in ("count", "keys", "check")))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Prints:
+        """Each set at the least size from which it can be had back."""
+        out = cls()
+        out.sizes, out.third, out.row = np.array([len(s) for s in sets], np.int64), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+        todo: dict[int, list[int]] = {}
+        for i, s in enumerate(sets):
+            todo.setdefault(least_third(len(s)), []).append(i)
+        while todo:
+            third, parts = min(todo), []
+            for part in _chunks(todo.pop(third), third):
+                made = Sketches([sets[i] for i in part], third)
+                *_, fine = made.copy().peel()
+                parts.append((np.array(part)[fine], made.rows(np.flatnonzero(fine))))
+                if not fine.all():
+                    todo.setdefault(2 * third, []).extend(np.array(part)[~fine].tolist())
+            out._table(third, parts)
+        return out
 
-def likeness(left: list[bytes], right: list[bytes], apart: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-    """Shared over all digests, from the numbers in the fingerprints and what differs."""
-    out = []
-    for a, b, (x, y) in zip(left, right, apart, strict=True):
-        n, m = struct.unpack_from("<I", a)[0], struct.unpack_from("<I", b)[0]
-        shared = n - len(x)
-        out.append(shared / (n + m - shared) if n + m else 1.0)
-    return out
+    @classmethod
+    def load(cls, raw: list[bytes]) -> Prints:
+        out = cls()
+        out.sizes = np.array([struct.unpack_from("<I", p)[0] for p in raw], np.int64)
+        sizes = np.array([1 << p[4] - 1 for p in raw], np.int64)
+        out.third, out.row = sizes.copy(), np.zeros(len(raw), np.int64)
+        for third in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == third)
+            cells = np.frombuffer(b"".join(raw[i][5:] for i in at.tolist()), CELL)
+            out._table(third, [(at, Sketches.of(third, cells["count"].astype(np.int64), cells["keys"].astype(np.uint64), cells["check"].astype(np.uint64)))])
+        return out
+
+    def raw(self) -> list[bytes]:
+        packed = {}
+        for third, table in self.tables.items():
+            cells = np.zeros(len(table.count), CELL)
+            cells["count"], cells["keys"], cells["check"] = table.count, table.keys, table.check
+            packed[third] = cells.tobytes()
+        out = []
+        for size, third, row in zip(self.sizes.tolist(), self.third.tolist(), self.row.tolist(), strict=True):
+            width = 3 * third * CELL.itemsize
+            out.append(struct.pack("<IB", size, third.bit_length()) + packed[third][row * width : (row + 1) * width])
+        return out
+
+    def recovered(self, which: np.ndarray) -> list[np.ndarray]:
+        """The digests of each of these fingerprints."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(which)
+        sizes = self.third[which]
+        for third in np.unique(sizes).tolist():
+            for part in _chunks(np.flatnonzero(sizes == third).tolist(), third):
+                row, keys, _, fine = self.tables[third].rows(self.row[which[part]]).peel()
+                assert fine.all()
+                order = np.lexsort((keys, row))
+                ends = np.searchsorted(row[order], np.arange(len(part) + 1))
+                for k, i in enumerate(part):
+                    out[i] = keys[order[ends[k] : ends[k + 1]]]
+        return out
+
+    def differences(self, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each two fingerprints the digests that only the left and only the right one has."""
+        none = np.zeros(0, np.uint64)
+        out = [(none, none)] * len(left)
+        apart = np.flatnonzero(left != right)
+        sizes = np.stack([self.third[left[apart]], self.third[right[apart]]], axis=1)
+        kinds, which = np.unique(sizes, axis=0, return_inverse=True)
+        failed: list[int] = []
+        for kind, (own, other) in enumerate(kinds.tolist()):
+            third = min(own, other)
+            for part in _chunks(apart[which == kind].tolist(), max(own, other)):
+                part = np.array(part)
+                a, b = self.tables[own].rows(self.row[left[part]]).fold(third), self.tables[other].rows(self.row[right[part]]).fold(third)
+                row, keys, sign, fine = (a - b).peel()
+                order = np.lexsort((keys, row))
+                row, keys, sign = row[order], keys[order], sign[order]
+                ends = np.searchsorted(row, np.arange(len(part) + 1))
+                for k, i in enumerate(part.tolist()):
+                    if fine[k]:
+                        mine, way = keys[ends[k] : ends[k + 1]], sign[ends[k] : ends[k + 1]]
+                        out[i] = mine[way > 0], mine[way < 0]
+                    else:
+                        failed.append(i)
+        again = np.unique(np.concatenate([left[failed], right[failed]])) if failed else np.zeros(0, np.int64)
+        sets = {i: set(keys.tolist()) for i, keys in zip(again.tolist(), self.recovered(again), strict=True)}
+        for i in failed:
+            x, y = sets[int(left[i])], sets[int(right[i])]
+            out[i] = np.array(sorted(x - y), np.uint64), np.array(sorted(y - x), np.uint64)
+        return out
+
+    def likeness(self, left: np.ndarray, right: np.ndarray, apart: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+        """Shared over all digests, from the numbers in the fingerprints and what differs."""
+        shared = self.sizes[left] - np.array([len(x) for x, _ in apart], np.int64)
+        either = self.sizes[left] + self.sizes[right] - shared
+        return np.where(either > 0, shared / np.maximum(either, 1), 1.0).tolist()
 
 
 def _hex(keys: np.ndarray) -> str:
@@ -243,17 +282,19 @@ def edit(text: str, following: str) -> str:
 def _rows(ids: list, texts: list[str], following: list[str]) -> tuple[list, ...]:
     edited = [edit(a, b) for a, b in zip(texts, following, strict=True)]
     every = list(dict.fromkeys([*texts, *edited, *following]))
-    known = dict(zip(every, sketch([digests(t) for t in every]), strict=True))
-    own, new, after = ([known[t] for t in x] for x in (texts, edited, following))
-    changed = differences(own, new)
+    place = {t: i for i, t in enumerate(every)}
+    own, new, after = (np.array([place[t] for t in x]) for x in (texts, edited, following))
+    prints = Prints.of([digests(t) for t in every])
+    changed = prints.differences(own, new)
+    raw = [base64.b64encode(p).decode() for p in prints.raw()]
     return (
         ids,
         [len(t) for t in texts],
         [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-        [base64.b64encode(p).decode() for p in own],
-        [base64.b64encode(p).decode() for p in new],
-        likeness(own, new, changed),
-        likeness(own, after, differences(own, after)),
+        [raw[i] for i in own],
+        [raw[i] for i in new],
+        prints.likeness(own, new, changed),
+        prints.likeness(own, after, prints.differences(own, after)),
         [_hex(x) for x, _ in changed],
         [_hex(y) for _, y in changed],
     )

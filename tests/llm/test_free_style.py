@@ -188,9 +188,10 @@ def test_sketches_recover_differences():
     rng = random.Random(1)
     sets = [np.array(sorted({rng.getrandbits(64) for _ in range(rng.randint(0, 300))}), np.uint64) for _ in range(60)]
     other = [np.array(sorted(set(rng.sample(s.tolist(), len(s) // rng.choice([1, 2, 30]))) | {rng.getrandbits(64) for _ in range(rng.choice([0, 9, 900]))}), np.uint64) for s in sets]
-    left, right = fingerprint.sketch(sets), fingerprint.sketch(other)
-    assert [fingerprint.recovered(p).tolist() for p in left] == [s.tolist() for s in sets]
-    for (x, y), a, b in zip(fingerprint.differences(left, right), sets, other, strict=True):
+    raw = fingerprint.Prints.of(sets + other).raw()
+    prints = fingerprint.Prints.load(raw)
+    assert prints.raw() == raw and [x.tolist() for x in prints.recovered(np.arange(60))] == [s.tolist() for s in sets]
+    for (x, y), a, b in zip(prints.differences(np.arange(60), np.arange(60, 120)), sets, other, strict=True):
         assert (set(x.tolist()), set(y.tolist())) == (set(a.tolist()) - set(b.tolist()), set(b.tolist()) - set(a.tolist()))
 
 
@@ -224,7 +225,8 @@ def test_fingerprints_follow_the_next_document(spark):
         assert prints.setdefault(text, row["fingerprint"]) == row["fingerprint"]
         own, new, following = (brute_digests(t) for t in (text, edited, after))
         raw = [base64.b64decode(row[c]) for c in ("fingerprint", "edited_fingerprint")]
-        assert [set(fingerprint.recovered(p).tolist()) for p in raw] == [own, new]
+        stored = fingerprint.Prints.load(raw)
+        assert [set(x.tolist()) for x in stored.recovered(np.arange(2))] == [own, new]
         assert row["near_edited"] == (len(own & new) / len(own | new) if own | new else 1.0)
         assert row["near_next"] == (len(own & following) / len(own | following) if own | following else 1.0)
         assert (row["removed"], row["added"]) == tuple(",".join(f"{x:016x}" for x in sorted(s)) for s in (own - new, new - own))
