@@ -675,9 +675,9 @@ FEED_BASE = f"""f AS (SELECT event_id, event_type, value, CAST(floor(epoch(ts))
 FEED_COLUMNS = ("key", "attr", "v_f64", "v_str", "v_lat_e7", "v_lon_e7", "valid_from", "system_unix")
 
 
-def feed_sql(key: str, system: str, position: str, numbers: dict[str, tuple[str, str]], texts: dict[str, tuple[str, str]]) -> str:
+def feed_sql(key: str, system: str, position: str, numbers: dict[str, tuple[str, str]], texts: dict[str, tuple[str, str]], start: str = "u") -> str:
     """Rows of a feed: a position, and each number and text under its condition."""
-    common = f"u - 946684800 AS valid_from, {system} AS system_unix FROM f"
+    common = f"({start} - 946684800)::INT AS valid_from, ({system})::BIGINT AS system_unix FROM f"
     parts = [f"SELECT {key} AS key, '{position}' AS attr, NULL::DOUBLE AS v_f64, NULL AS v_str, y AS v_lat_e7, x AS v_lon_e7, {common}"]
     parts += [f"SELECT {key}, '{a}', ({v})::DOUBLE, NULL, NULL, NULL, {common} WHERE {w}" for a, (v, w) in numbers.items()]
     parts += [f"SELECT {key}, '{a}', NULL, {v}, NULL, NULL, {common} WHERE {w}" for a, (v, w) in texts.items()]
@@ -760,6 +760,93 @@ def ring_centroid(spark, sf_dir):
     return feeds.zone_centroids(rings).select("zone", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+def alone(spark: SparkSession, sf_dir: str, document: Column) -> DataFrame:
+    """A payload per event."""
+    rows = events(spark, sf_dir).withColumn("lat", F.expr(FEED_LAT).cast("double")).withColumn("lon", F.expr(FEED_LON).cast("double"))
+    return rows.select(F.to_json(document).alias("payload"), F.lit(0).cast("long").alias("fetched_unix"))
+
+
+@query(feed_sql("'eonet:' || event_id", "0", "event_position", {"event_intensity": ("1", "true")}, {"event_label": ("CASE WHEN event_id % 2 = 0 THEN 'Storms — ' ELSE '' END || event_type", "true")}))
+def feed_eonet(spark, sf_dir):
+    place = lambda kind, lat: F.struct(F.lit(kind).alias("type"), F.array("lon", lat).alias("coordinates"), _iso("u").alias("date"))
+    categories = F.when(F.col("event_id") % 2 == 0, F.array(F.struct(F.lit("Storms").alias("title"))))
+    one = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("title"), categories.alias("categories"), F.array(place("Point", F.lit(1.0)), place("Point", F.col("lat"))).alias("geometry"))
+    return feeds.eonet(alone(spark, sf_dir, F.struct(F.array(one).alias("events")))).select(*FEED_COLUMNS)
+
+
+SEEN = "u - floor((event_id % 7) * 0.5 + 0.5)"
+AIR_TEXT = "'F' || event_id || CASE WHEN event_id % 2 = 0 THEN ' · B77' ELSE '' END"
+AIR_HEIGHT = "CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN event_id ELSE 0 END"
+
+
+def aircraft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    one = F.struct(
+        F.concat(F.lit("x"), k).alias("hex"), "lat", "lon", F.when(k % 3 == 0, "ground").when(k % 3 == 1, k.cast("string")).alias("alt_baro"), ((k % 7) * 0.5).alias("seen_pos"),
+        F.concat(F.lit(" F"), k, F.lit(" ")).alias("flight"), F.when(k % 2 == 0, "B77").alias("t"),
+    )
+    return alone(spark, sf_dir, F.struct((F.col("u") * 1000).alias("now"), F.array(one).alias("ac")))
+
+
+@query(feed_sql("'icao:x' || event_id", SEEN, "aircraft_position", {"altitude": (AIR_HEIGHT, "true")}, {"aircraft_label": (AIR_TEXT, "true")}, SEEN))
+def feed_aircraft(spark, sf_dir):
+    return feeds.airplanes(aircraft(spark, sf_dir)).select(*FEED_COLUMNS)
+
+
+@query(feed_sql("'icao:x' || event_id", SEEN, "civil_position", {"civil_altitude": (AIR_HEIGHT, "true")}, {"civil_label": (AIR_TEXT, "true")}, SEEN))
+def feed_civil_aircraft(spark, sf_dir):
+    return feeds.airplanes(aircraft(spark, sf_dir), civil=True).select(*FEED_COLUMNS)
+
+
+@query(
+    """WITH f AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS u, event_id % 180 - 90 AS lat, CASE WHEN event_id % 360 > 180 THEN event_id % 360 - 360 ELSE event_id % 360 END AS lon, event_id % 20 AS p FROM events WHERE event_id % 20 >= 10)
+    SELECT 'swpc:aurora:' || lat || ':' || lon AS key, 'aurora_position' AS attr, NULL::DOUBLE AS v_f64, (lat * 10000000)::INT AS v_lat_e7, (u - 946684800)::INT AS valid_from, (u - 946684800 + 1800)::INT AS valid_to, u - 600 AS system_unix FROM f
+    UNION ALL SELECT 'swpc:aurora:' || lat || ':' || lon, 'aurora_probability', p::DOUBLE, NULL, (u - 946684800)::INT, (u - 946684800 + 1800)::INT, u - 600 FROM f"""
+)
+def feed_aurora(spark, sf_dir):
+    seen = F.date_format(F.timestamp_seconds(F.col("u") - 600), "yyyy-MM-dd'T'HH:mm:ss")
+    cell = F.array(*[F.expr(x).cast("double") for x in ("event_id % 360", "event_id % 180 - 90", "event_id % 20")])
+    made = alone(spark, sf_dir, F.struct(seen.alias("Observation Time"), _iso("u").alias("Forecast Time"), F.array(cell).alias("coordinates")))
+    return feeds.swpc(made).select("key", "attr", "v_f64", "v_lat_e7", "valid_from", "valid_to", "system_unix")
+
+
+@query(
+    f"""WITH {FEED_BASE}, w AS (SELECT 'nws:a' || event_id || ':poly' AS key, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 0 END::DOUBLE AS severity, event_type || CASE WHEN event_id % 2 = 0 THEN ' — here' ELSE '' END AS told,
+    (u - 946684800)::INT AS valid_from, (u - 946684800 + 3600)::INT AS valid_to, u - 30 AS system_unix FROM f WHERE event_id % 5 > 0)
+    SELECT key, 'weather_position' AS attr, NULL::DOUBLE AS v_f64, NULL AS v_str, valid_from, valid_to, system_unix FROM w
+    UNION ALL SELECT key, 'weather_severity', severity, NULL, valid_from, valid_to, system_unix FROM w UNION ALL SELECT key, 'weather_label', NULL, told, valid_from, valid_to, system_unix FROM w"""
+)
+def feed_weather(spark, sf_dir):
+    """Alerts by polygon; a fifth end before they begin and are refused."""
+    k = F.col("event_id")
+    iso = lambda seconds: F.date_format(F.timestamp_seconds(F.col("u") + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    severity = F.get(F.array(F.lit("Minor"), F.lit("Extreme"), F.lit("other")), (k % 3).cast("int"))
+    told = F.struct(
+        F.concat(F.lit("a"), k).alias("id"), iso(-30).alias("sent"), iso(0).alias("onset"), F.when(k % 5 == 0, iso(-1)).otherwise(iso(3600)).alias("expires"),
+        F.col("event_type").alias("event"), F.when(k % 2 == 0, "here").alias("areaDesc"), severity.alias("severity"),
+    )
+    ring = F.array(F.array("lon", "lat"), F.array(F.col("lon") + 1, F.col("lat")), F.array("lon", F.col("lat") + 1))
+    feature = F.struct(told.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    zones = spark.createDataFrame([], "zone string, lat double, lon double")
+    return feeds.nws(payloads(spark, sf_dir, feature), zones).select("key", "attr", "v_f64", "v_str", "valid_from", "valid_to", "system_unix")
+
+
+def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    port = F.struct(F.concat(F.lit("p"), k).alias("name"), F.when(k % 2 == 0, "Utopia").alias("country"), "lat", "lon", (k % 3).cast("int").alias("class"))
+    return alone(spark, sf_dir, F.struct(F.col("u").alias("authoredUnix"), F.array(port).alias("ports"), F.array(port).alias("chokepoints")))
+
+
+@query(feed_sql("'port:p' || event_id", "u", "port_position", {"port_class": ("event_id % 3", "true")}, {"port_label": ("'p' || event_id || CASE WHEN event_id % 2 = 0 THEN ' — Utopia' ELSE '' END", "true")}))
+def feed_ports(spark, sf_dir):
+    return feeds.curated(curated(spark, sf_dir)).select(*FEED_COLUMNS)
+
+
+@query(feed_sql("'chokepoint:p' || event_id", "u", "chokepoint_position", {}, {"chokepoint_label": ("'p' || event_id", "true")}))
+def feed_chokepoints(spark, sf_dir):
+    return feeds.curated(curated(spark, sf_dir), chokepoints=True).select(*FEED_COLUMNS)
+
+
 # --- probes
 
 
@@ -794,6 +881,46 @@ def probe_dns(spark, sf_dir):
     return probes.records(probes.dns(asked)).select("key", "v_str", "valid_to")
 
 
+@query(
+    """SELECT 'recon:exposure:h' || event_id AS key, CASE WHEN event_id % 3 = 0 THEN 'exposure h' || event_id || ' result: no record: this host is not in the index'
+              ELSE 'exposure h' || event_id || ' open ports: 80, ' || event_id || '; hostnames: ' || event_type || '; known cves: CVE-1' END AS v_str,
+              (u - 946684800 + CASE WHEN event_id % 3 = 0 THEN 900 ELSE 3600 END)::INT AS valid_to FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS u FROM events)"""
+)
+def probe_exposure(spark, sf_dir):
+    k = F.col("event_id")
+    told = F.struct(F.array(F.lit(80).cast("long"), k.cast("long")).alias("ports"), F.array("event_type").alias("hostnames"), F.array(F.lit("CVE-1")).alias("vulns"))
+    asked = events(spark, sf_dir).select(F.concat(F.lit("h"), k).alias("subject"), F.when(k % 3 > 0, F.to_json(told)).alias("payload"), F.col("u").alias("asked_unix"))
+    return probes.records(probes.exposure(asked)).select("key", "v_str", "valid_to")
+
+
+@query(
+    """SELECT 'recon:cve:CVE-2020-' || (10000 + event_id) AS key, 'cve CVE-2020-' || (10000 + event_id) || ' cve: CVE-2020-' || (10000 + event_id) || '; state: PUBLISHED'
+              || CASE WHEN event_id % 2 = 0 THEN '; cvss v3.1: 7.5 HIGH' ELSE '' END || '; published: 2020-02-03; summary: ' || event_type AS v_str FROM events WHERE event_id % 4 > 0"""
+)
+def probe_cve(spark, sf_dir):
+    """Answers about vulnerabilities; a quarter of the identifiers have no right form."""
+    k = F.col("event_id")
+    score = F.struct(F.lit(7.5).alias("baseScore"), F.lit("HIGH").alias("baseSeverity"))
+    metrics = F.when(k % 2 == 0, F.array(F.struct(score.alias("cvssV3_1"))))
+    cna = F.struct(F.array(F.struct(F.col("event_type").alias("value"))).alias("descriptions"), metrics.alias("metrics"))
+    told = F.struct(F.struct(F.lit("2020-02-03T00:00:00").alias("datePublished"), F.lit("PUBLISHED").alias("state")).alias("cveMetadata"), F.struct(cna.alias("cna")).alias("containers"))
+    asked = events(spark, sf_dir).select(F.concat(F.when(k % 4 > 0, " cve-2020-").otherwise("cve-20-"), 10_000 + k).alias("subject"), F.to_json(told).alias("payload"), F.col("u").alias("asked_unix"))
+    return probes.records(probes.cve(asked)).select("key", "v_str")
+
+
+@query(
+    """SELECT 'recon:rdap:d' || event_id AS key, 'rdap d' || event_id || ' handle: H' || event_id || '; status: ok, ' || event_type || '; abuse contact: a@x.org; discarded: 2 registrant identity field(s), dropped before the store' AS v_str FROM events"""
+)
+def probe_rdap(spark, sf_dir):
+    """Registrations: only the abuse contact is shown."""
+    contact = lambda key, value: F.struct(F.lit(key).alias("key"), F.lit(value).alias("value"))
+    entity = lambda role, *contacts: F.struct(F.array(F.lit(role)).alias("roles"), F.array(*contacts).alias("contact"))
+    held = F.array(entity("abuse", contact("email", "a@x.org"), contact("fn", "Ann")), entity("registrant", contact("email", "b@x.org")))
+    told = F.struct(F.concat(F.lit("H"), "event_id").alias("handle"), F.array(F.lit("ok"), F.col("event_type")).alias("status"), held.alias("entities"))
+    asked = events(spark, sf_dir).select(F.concat(F.lit("d"), "event_id").alias("subject"), F.to_json(told).alias("payload"), F.col("u").alias("asked_unix"))
+    return probes.records(probes.rdap(asked)).select("key", "v_str")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
