@@ -180,6 +180,14 @@ def test_links_keep_every_component(spark, hot):
     assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(brute_classes(prints, 4)))
 
 
+def test_simhash_of_very_long_texts_and_clashing_columns(spark):
+    texts = ["x " * 1_000_000, " " * 5_000_000, "y" * 5_000_000, None, "x " * 999_999 + "x"]
+    docs = frame(spark, texts).withColumns({n: F.lit("clash") for n in ("fp", "root", "least", "node", "component_id")})
+    found = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert found[0] == found[4] and found[0][1] == 0 and found[1] == found[3] == (0, 1) and found[2][1] == 2
+    assert found[0][0] & (2**64 - 1) == brute_fingerprint("x x x x x x", 4)
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

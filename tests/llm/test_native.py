@@ -86,6 +86,14 @@ def test_mixing_matches_sql(spark, seed):
     assert all(abs(r["taken"] - r["target"]) <= r["most"] for r in per.collect())
 
 
+def test_mixing_by_shuffle_joins_and_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rows = [(1, "w " * 1_000_000, "en", "a"), (2, "x" * 5_000_000, "en", "a"), (3, " " * 5_000_000, "en", None), (4, "one two", "en", "b")]
+    docs = documents(spark, 3).unionByName(spark.createDataFrame(rows, DOCS))
+    found = mixing.mix_sizes(docs).select("doc_id", "size", "source_size", "target", "taken")
+    assert spark_rows(found) == sql_rows(mixing.ORACLE_SQL, documents=docs.toPandas())
+
+
 def test_mixing_targets_fill_up(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 50)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in mixing.targets(sizes, (3, 1, 2), 1.5, 2.0).collect()}

@@ -6,11 +6,12 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import language, mixing, simhash
+from factloom.llm import language, mixing, shingles, similar, simhash
 
 from .test_native import brute_leaks
 
@@ -152,3 +153,66 @@ def test_near_dedup_compares_texts_of_equal_fingerprints(spark):
     texts += [" ".join([line] * 40 + words[:-1] + ["edited"]) for words in own]
     assert len({simhash.text_fingerprint(t, 5) for t in texts}) == 1
     assert kept_of(spark, texts) == sorted(set(closure(texts))) == list(range(6))
+
+
+def near_copies(seed, groups=6, size=25):
+    """Texts in groups of edits of one original, from light to heavy, and edits of edits."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        original = [f"w{g}x{rng.randrange(10**6)}" for _ in range(rng.randint(40, 120))]
+        last = original
+        for _ in range(size):
+            words = list(rng.choice([original, last]))
+            for _ in range(rng.randint(0, len(words) // 40 + 1)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            last = words
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    return list(dict.fromkeys(texts))
+
+
+@pytest.mark.parametrize(("hot", "ids", "rows"), [(4_000, 500_000, 20_000), (6, 0, 10)])
+def test_near_dedup_finds_every_class_whatever_its_limits_are(spark, monkeypatch, hot, ids, rows):
+    """Against all pairs; with small limits large buckets are cut, ids are joined by shuffle and tables hold few rows."""
+    texts = near_copies(3)
+    monkeypatch.setattr(similar, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(similar, "ROWS_AT_ONCE", rows)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    every, members, held = similar.distinct_texts(docs, 5)
+    found = {r["node"]: r["component"] for r in similar.classes(members, held, hot_bucket=hot).collect()}
+    doc = {r["id"]: r["first"]["doc_id"] for r in every.collect()}
+    by_class = {}
+    for i, d in doc.items():
+        by_class.setdefault(found.get(i, i), set()).add(d)
+    expected = {}
+    for d, root in enumerate(closure(texts)):
+        expected.setdefault(root, set()).add(d)
+    assert sorted(map(sorted, by_class.values())) == sorted(map(sorted, expected.values()))
+    assert max(map(len, expected.values())) > 10
+
+
+def test_share_of_similar_pairs_that_become_candidates():
+    """By similarity, of pairs of texts: those that share a band and lie within the radius."""
+    rng = random.Random(5)
+    seen = {0.8: [0, 0], 0.85: [0, 0], 0.9: [0, 0]}
+    for _ in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 200))]
+        edited = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 40))):
+            edited[rng.randrange(len(edited))] = f"x{rng.randrange(10**6)}"
+        a, b = (np.unique(shingles.shingle_hashes(" ".join(x), 5)) for x in (words, edited))
+        shared = len(np.intersect1d(a, b))
+        likeness = shared / (len(a) + len(b) - shared)
+        band = max((x for x in seen if x <= likeness), default=None)
+        if band is not None:
+            met = set(similar.bands(a)) & set(similar.bands(b)) and (shingles.majority_bits(a) ^ shingles.majority_bits(b)).bit_count() <= similar.RADIUS
+            seen[band][0] += bool(met)
+            seen[band][1] += 1
+    assert all(n > 100 and found >= 0.99 * n for found, n in seen.values())
+
+
+def test_near_dedup_of_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    texts = [long, long + " end", "x " * 1_000_000, " " * 3_000_000, None, "y" * 3_000_000]
+    assert kept_of(spark, texts) == [0, 2, 3, 5]
