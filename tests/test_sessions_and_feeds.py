@@ -15,6 +15,7 @@ from factloom.plans.language import parse
 from factloom.plans.planner import misestimate
 from factloom.plans.policy import Policy, Request, Sensitivity
 from factloom.plans.session import Session
+from factloom.runtime import cut_lineage
 from factloom.sources import feeds, probes, registry
 from factloom.streaming import ingest
 
@@ -101,7 +102,7 @@ def told(df):
 
 
 def test_the_plan_that_is_told_is_run(spark):
-    session = Session(spark, fixtures.facts(spark, "/root/testdata/sf0.01"), fixtures.txns(spark, "/root/testdata/sf0.01"))
+    session = Session(spark, cut_lineage(fixtures.facts(spark, "/root/testdata/sf0.001")), fixtures.txns(spark, "/root/testdata/sf0.001"))
     session.register_source("quakes", "position", "magnitude")
     small = session.run_query("quakes within 300km of (10, 15)", 760_000_000 + C.EPOCH_2000, (760_000_000, 5000), record=False, execute=False)
     whole = session.run_query("quakes where magnitude > 3", 760_000_000 + C.EPOCH_2000, (760_000_000, 5000), record=False, execute=False)
