@@ -10,7 +10,7 @@ from factloom.operators.store import dense_ids
 from factloom.runtime import cut_lineage
 
 
-#: Labels are broadcast up to so many nodes, and joined by shuffle beyond.
+#: Labels and frontiers are broadcast up to so many nodes, and joined by shuffle beyond.
 BROADCAST_LABELS = 1_000_000
 #: Rounds of a path search after which what has been seen is written out as one table.
 MERGE_ROUNDS = 16
@@ -59,20 +59,31 @@ def shortest_path(graph: DataFrame, a: int, b: int) -> DataFrame:
         return spark.createDataFrame([(0, a)], schema)
     sides = [spark.createDataFrame([(x, None, 0)], "node long, parent long, depth int") for x in (a, b)]
     fronts, sizes, depths = list(sides), [1, 1], [0, 0]
+    near = graph.select("src", "dst").repartition("src").persist()
+    try:
+        return _met(near, sides, fronts, sizes, depths)
+    finally:
+        near.unpersist()
+
+
+def _met(near: DataFrame, sides: list[DataFrame], fronts: list[DataFrame], sizes: list[int], depths: list[int]) -> DataFrame:
+    """The path between the origins of two sides, each grown from its front over the edges ``near``."""
+    spark, schema = near.sparkSession, "step int, node long"
     while True:  # each round sees new nodes or ends, so there are at most as many as nodes
         k = 0 if sizes[0] <= sizes[1] else 1
         depths[k] += 1
-        step = graph.join(fronts[k].select("node"), F.col("src") == F.col("node"))
+        front = fronts[k].select("node")
+        step = near.join(F.broadcast(front) if sizes[k] <= BROADCAST_LABELS else front, F.col("src") == F.col("node"))
         step = step.groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent")).withColumnRenamed("next", "node")
         step = step.join(sides[k].select("node"), "node", "left_anti").select("node", "parent", F.lit(depths[k]).alias("depth"))
         fronts[k] = cut_lineage(step)
-        sizes[k] = fronts[k].count()
+        other = sides[1 - k].select(F.col("node").alias("seen"))
+        sizes[k], met = fronts[k].join(other, F.col("node") == F.col("seen"), "left").agg(F.count("*"), F.min("seen")).first()
         if not sizes[k]:
             return spark.createDataFrame([], schema)
         sides[k] = sides[k].unionByName(fronts[k])
         if depths[k] % MERGE_ROUNDS == 0:
             sides[k] = cut_lineage(sides[k])
-        met = fronts[k].join(sides[1 - k].select("node"), "node", "left_semi").agg(F.min("node")).first()[0]
         if met is not None:
             halves = [_trace(sides[i], met) for i in range(2)]
             path = halves[0][::-1] + halves[1][1:]

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "factloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings that the engine's semantics rely on (UTC, AQE)."""
+    """A session with the settings that the engine's semantics rely on (UTC, AQE).
+
+    Checkpoints that nothing refers to any more are removed from the shared folder.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
