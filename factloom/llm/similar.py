@@ -6,8 +6,8 @@ and seldom in over 20. Blocks of bits that agree within that radius are three bi
 tell nothing apart, so fingerprints are dealt by bands of min-hashes of the same shingles:
 16 bands of four miss a pair of similarity 0.8 once in 4600, of 0.85 once in 190 000.
 
-First each member of a bucket is compared with one head, twice; these links make most of a
-large group of copies one class. Then the buckets that hold several classes are searched by
+First each member of a bucket is compared with two heads; these links make most of a large
+group of copies one class. Then the buckets that hold several classes are searched by
 the Gray-ordered index of ``simhash``, whose nodes also bound the sizes and the classes of
 their members. Every pair within the radius that lies in two classes goes to the exact test,
 none is left out for having nearer neighbours; the test is made in the bucket, where a link
@@ -249,23 +249,23 @@ def _settle(buckets: DataFrame, held: DataFrame, words: int, radius: int, simila
     return cut_lineage(dealt.mapInArrow(run, "src long, dst long"))
 
 
-def _with_classes(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return members.withColumn("class", F.col("id"))
+def _with_classes(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "fp", "n", "c", F.coalesce("component", "id").alias("class"))
 
 
 def classes(members: DataFrame, held: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """``(node, component)`` of the ids of ``members(key, id, fp, n, c)`` that are similar to another's; ``held(id, packed)`` has their texts."""
-    found = None
-    for turn in ("c", "key"):  # the member that meets most others first: an original has more links than its edits
-        now = _with_classes(members, found)
-        head = F.min(F.struct(-F.col("c") if turn == "c" else F.xxhash64("id", "key"), "id", "fp", "n", "class"))
-        heads = now.groupBy("key").agg(head.alias("h")).select(F.col("key").alias("k"), "h")
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= radius
-        asked = now.join(heads, F.col("key") == F.col("k")).where((F.col("class") != F.col("h.class")) & _fits(F.col("n"), F.col("h.n"), similarity) & near)
-        asked = cut_lineage(asked.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct())
-        found = _joined(verified(asked, held, words, similarity), found)
+    # two heads a bucket: the member that meets most others (an original has more links than its edits), and one by hash
+    now = members.withColumn("class", F.col("id"))
+    whole = ["id", "fp", "n"]
+    heads = now.groupBy("key").agg(
+        F.min(F.struct(-F.col("c"), F.xxhash64("id"), *whole)).alias("x"), F.min(F.struct(F.xxhash64("id", F.lit(7)), *whole)).alias("y")
+    )
+    heads = heads.select(F.col("key").alias("k"), F.explode(F.array(*[F.struct(*[F.col(f"{h}.{c}") for c in whole]) for h in "xy"])).alias("h")).distinct()
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= radius
+    asked = now.join(heads, F.col("key") == F.col("k")).where((F.col("id") != F.col("h.id")) & _fits(F.col("n"), F.col("h.n"), similarity) & near)
+    asked = cut_lineage(asked.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct())
+    found = _joined(verified(asked, held, words, similarity), None)
     buckets = _open_buckets(_with_classes(members, found), hot_bucket)
     return _joined(_settle(buckets, held, words, radius, similarity), found)
 
