@@ -44,15 +44,20 @@ def _numbered(docs: DataFrame, rest: list[str | Column]) -> DataFrame:
     few = again.limit(BROADCAST_ROWS + 1).count()
     if not few:
         return keyed.select("k1", "k2", F.lit(0).cast("long").alias("copy"), "row")
-    hint = F.broadcast(again) if few <= BROADCAST_ROWS else again
-    once = keyed.join(hint, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(0).cast("long").alias("copy"), "row")
-    first = keyed.join(hint, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).join(again, ["k1", "k2"])
+    if few <= BROADCAST_ROWS:
+        hint = F.broadcast(again)
+        once = keyed.join(hint, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(0).cast("long").alias("copy"), "row")
+        first = keyed.join(hint, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    else:  # many are repeated: one shuffle of all rows, copies joined before it
+        once = None
+        first = keyed.groupBy("k1", "k2").agg(F.first("row").alias("row"), F.count("*").alias("n"))
     step = F.lit(COPIES_AT_ONCE)
     blocks = first.select("k1", "k2", "n", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step.cast("long"))).alias("low"))
     if not again.where(F.col("n") > COPIES_AT_ONCE).isEmpty():
         blocks = blocks.repartition("k1", "low")
     copies = F.sequence(F.col("low"), F.least(F.col("n"), F.col("low") + step) - 1)
-    return once.unionByName(blocks.select("k1", "k2", F.explode(copies).alias("copy"), "row"))
+    copies = blocks.select("k1", "k2", F.explode(copies).alias("copy"), "row")
+    return copies if once is None else once.unionByName(copies)
 
 
 def _permutation(size: Column, bucket: Column, seed: int) -> Column:
