@@ -120,13 +120,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, hot_bucket
 
 
 def classes(prints: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """``prints(doc_id, fp)`` with ``component_id``."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(distinct.select("fp"), radius, hot_bucket))
-    roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = cut_lineage(roots)
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.join(named, "root").select("fp", "component_id")
+    """``prints(doc_id, fp)`` with ``component_id``.
+
+    A fingerprint enters the components as (its least id, itself), ids before none, so that a
+    component's least member names it and no class is gathered to find its name.
+    """
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    node = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    ends = [distinct.select(F.col("fp").alias(e), node.alias(f"{e}_node")) for e in ("src", "dst")]
+    met = links(distinct.select("fp"), radius, hot_bucket).join(ends[0], "src").join(ends[1], "dst")
+    found = connected_components(met.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")))
+    linked = found.select(F.col("node.fp").alias("f"), F.col("component.least").alias("named"), F.lit(True).alias("linked"))
+    of = distinct.join(linked, F.col("fp") == F.col("f"), "left").select("fp", F.when(F.col("linked"), F.col("named")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
