@@ -183,7 +183,10 @@ def status_merge(spark, sf_dir):
 def run_text(spark: SparkSession, sf_dir: str, text: str, entity: str = "event_id") -> DataFrame:
     """A query's points at (T, S), with coordinates rounded for comparison."""
     parsed = parse(text).query
-    rows = compiler.points(compiler.entities(facts(spark, sf_dir, entity), parsed, BINDING, T, S, T + C.EPOCH_2000), parsed)
+    known = facts(spark, sf_dir, entity)
+    if parsed.bbox is not None or parsed.within is not None:
+        known = cut_lineage(known)  # key ranges compare a stored column; made anew, the key would be spelled out for each range
+    rows = compiler.points(compiler.entities(known, parsed, BINDING, T, S, T + C.EPOCH_2000), parsed)
     return rows.select("entity", "fact_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("lat", "lon", "scalar")])
 
 
