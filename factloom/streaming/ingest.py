@@ -47,16 +47,20 @@ def with_identity(records: DataFrame, fetch_time_sources: Iterable[int] = (), se
 
 
 def fresh(records: DataFrame, committed: DataFrame) -> DataFrame:
-    """Records whose identity isn't in ``committed``; of repeats the first to arrive."""
+    """Records whose identity isn't in ``committed``, one of each: of repeats the first to arrive.
+
+    Nulls are the same as each other. A record without ``seq`` comes last, and of those that
+    arrived at once the least by its other columns is taken. Repeats are reduced before the
+    shuffle, so an identity sent very often sends a row per task.
+    """
+    rest = [c for c in records.columns if c not in IDENTITY and c != "seq"]
+    first = F.min(F.struct(F.col("seq").isNull().alias("__unplaced"), "seq", *rest)).alias("__first")
+    firsts = records.groupBy(*IDENTITY).agg(first).select(*IDENTITY, "__first.*")
+    known = committed.select(*[F.col(name).alias(f"__{name}") for name in IDENTITY])
     same = F.lit(True)
     for name in IDENTITY:
-        same = same & records[name].eqNullSafe(committed[name])
-    new = records.join(committed.select(*IDENTITY), same, "left_anti")
-    firsts = new.groupBy(*IDENTITY).agg(F.min("seq").alias("first_seq"))
-    again = F.lit(True)
-    for name in IDENTITY:
-        again = again & new[name].eqNullSafe(firsts[name])
-    return new.join(firsts, again & (new["seq"] == firsts["first_seq"]), "left_semi")
+        same = same & F.col(name).eqNullSafe(F.col(f"__{name}"))
+    return firsts.join(known, same, "left_anti").select(*records.columns)
 
 
 def clamp(walls: DataFrame, last_wall: int | None = None) -> DataFrame:

@@ -293,6 +293,14 @@ def test_cycles(spark, tmp_path):
     assert [(r["fact_id"], r["entity"], r["sys_from"], r["v_f64"]) for r in facts] == [(0, 1, 1, 1.0), (1, 2, 2, 1.0), (2, 3, 2, 1.0), (3, 1, 3, 3.0), (4, 5, 4, 3.0)]
 
 
+def test_records_that_arrive_at_once_are_committed_once(spark, tmp_path):
+    rows = [(0, 1, "m", C.F64, v, 0, 9, 120, seq) for v, seq in ((7.0, 5), (3.0, 2), (2.0, 2), (2.0, 2), (1.0, None))] + [(0, None, "m", C.F64, 4.0, 0, 9, 120, None)] * 2
+    made = ingest.Ingestor(spark, f"{tmp_path}/store")
+    assert made.cycle(spark.createDataFrame(rows, FEED), 0) == {"committed": 1, "facts": 2, "duplicates": 5, "clamped": 0}
+    assert sorted((r["v_f64"], r["entity"]) for r in made.facts.collect()) == [(2.0, 1), (4.0, None)]
+    assert made.cycle(spark.createDataFrame(rows, FEED), 1)["facts"] == 0
+
+
 def test_compaction_changes_no_row(spark, tmp_path, monkeypatch):
     made = ingest.Ingestor(spark, f"{tmp_path}/store")
     cycle = lambda k: spark.createDataFrame([(0, i, "m", C.F64, float(k), k, 99, 6000 + 60 * k, i) for i in range(5)], FEED)
